@@ -15,6 +15,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import rules
+
+    return rules(documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_tokens
 
@@ -35,5 +41,5 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(records.write(documents(spark, sf_dir), folder, tokenizer_path("byte_bpe_50k.json")), folder)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_sentencepiece, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_sentencepiece, op10_token_records)}
 ORACLE_SQL: dict[str, str] = {}
