@@ -33,6 +33,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import group
+
+    return group(documents(spark, sf_dir), shingle=4, threshold=80)
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import records
     from .spark import scratch
@@ -41,5 +47,5 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(records.write(documents(spark, sf_dir), folder, tokenizer_path("byte_bpe_50k.json")), folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_sentencepiece, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_sentencepiece, op4_near_dup, op10_token_records)}
 ORACLE_SQL: dict[str, str] = {}
