@@ -39,6 +39,12 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(documents(spark, sf_dir), shingle=4, threshold=80)
 
 
+def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audio import digests
+
+    return digests(documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import predict_all
 
@@ -53,5 +59,5 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(records.write(documents(spark, sf_dir), folder, tokenizer_path("byte_bpe_50k.json")), folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_sentencepiece, op4_near_dup, op8_language_id, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_sentencepiece, op4_near_dup, op5_audio_features, op8_language_id, op10_token_records)}
 ORACLE_SQL: dict[str, str] = {}
