@@ -261,7 +261,10 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group, the one with the least id, with all its columns; rows that repeat an id stay one."""
+    """One document of each group, the one with the least id, with all its columns; of rows that repeat an id one stays."""
     gone = sp.written(group(docs, id_col, text_col, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")), "gone")
-    kept = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    key = F.col(f"`{id_col}`").cast("long")
+    kept = docs.join(gone, key == F.col("__gone"), "left_anti")
+    if docs_repeat(docs.select(key.alias("doc_id")).filter("doc_id IS NOT NULL")):
+        kept = kept.filter(key.isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(key.isNull()))
     return kept
