@@ -51,6 +51,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_all(documents(spark, sf_dir))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import records
     from .spark import scratch
@@ -59,5 +65,11 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(records.write(documents(spark, sf_dir), folder, tokenizer_path("byte_bpe_50k.json")), folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_sentencepiece, op4_near_dup, op5_audio_features, op8_language_id, op10_token_records)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_sentencepiece, op4_near_dup, op5_audio_features, op8_language_id, op9_license_scan, op10_token_records)}
+def _oracle_sql() -> dict[str, str]:
+    from .licenses import scan_sql
+
+    return {"op9_license_scan": scan_sql()}
+
+
+ORACLE_SQL = _oracle_sql()
