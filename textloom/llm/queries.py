@@ -51,6 +51,12 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
 
 
+def op7_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weak_labels import classify
+
+    return classify(documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import predict_all
 
@@ -71,7 +77,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(records.write(documents(spark, sf_dir), folder, tokenizer_path("byte_bpe_50k.json")), folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_sentencepiece, op4_near_dup, op5_audio_features, op6_lm_scores, op8_language_id, op9_license_scan, op10_token_records)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_sentencepiece, op4_near_dup, op5_audio_features, op6_lm_scores, op7_weak_quality, op8_language_id, op9_license_scan, op10_token_records)}
 def _oracle_sql() -> dict[str, str]:
     from .licenses import scan_sql
 
