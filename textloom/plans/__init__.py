@@ -1,4 +1,5 @@
 """Registered queries by area, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from textloom.plans import base, corpus, retrieval  # noqa: F401
+
+QUERIES, ORACLE_SQL = base.QUERIES, base.ORACLE_SQL
