@@ -1,5 +1,5 @@
 """Registered queries by area, with their SQL."""
 
-from textloom.plans import base, corpus, evaluation, retrieval  # noqa: F401
+from textloom.plans import base, corpus, evaluation, mining, retrieval, strings  # noqa: F401
 
 QUERIES, ORACLE_SQL = base.QUERIES, base.ORACLE_SQL
