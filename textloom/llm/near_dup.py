@@ -10,13 +10,14 @@ and sets whose slots are settled leave.
 **Grouping.** Equal sets meet by a hash of the whole set and are one class from then
 on.  Classes that share a band are candidates.  Of a bucket's classes the one that
 shares most bands with others is its hub; the others are compared with it first.
-Verified pairs are merged by a distributed union-find.  Then pairs of a bucket that
-are still in different components are compared, further hubs at a time, until none
-is left, so that no candidate is dropped and members of a large group aren't paired
-with each other.  Pairs are verified on full sets.
+Verified pairs are merged by a distributed union-find.  Nodes of buckets that still
+hold different components are then joined on the prefixes of their sets, which finds
+every pair of them that may reach the threshold: no candidate is dropped, and members
+of a large group aren't paired with each other.  Pairs are verified on full sets.
 
-With the default 32 bands of 4 slots, a pair of similarity 0.8 shares no band with
-probability (1 - 0.8^4)^32 = 4e-13.  Sets are of 64-bit hashes of shingles.
+With the default 25 bands of 4 slots, a pair of similarity 0.8 shares no band with
+probability (1 - 0.8^4)^25 = 2e-6, one of 0.85 with 1e-8.  Sets are of 64-bit hashes
+of shingles.
 
 Defined cases: a document without words, or with a null text, has an empty set and
 is linked with nothing.  Rows that repeat a document id are one document whose set
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spark as sp
@@ -167,16 +168,9 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("least"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: int, sizes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets' intersection is at least ``threshold`` percent of their union."""
-    size_a, size_b = sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = pairs.join(size_a, "a").join(size_b, "b")
-    # sizes alone rule out a pair: the intersection is the smaller set at most
-    pairs = sp.written(pairs.filter(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    full = sp.written(sets_of(docs.join(wanted, "doc_id", "left_semi"), n), "sets")
-    full = full.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("shingles")))).alias("shingles")) if docs_repeat(full) else full
-    both = pairs.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = pairs.join(full.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(full.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
 
     def run(batches):
         for batch in batches:
@@ -207,7 +201,45 @@ def docs_repeat(full: DataFrame) -> bool:
     return n != distinct
 
 
-def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+def _mixed(band: DataFrame, of: DataFrame) -> tuple[bool, DataFrame]:
+    """The rows of buckets that still hold different components, with ``comp``; and whether there are any."""
+    now = band.drop("comp").join(of, "node", "left").withColumn("comp", F.coalesce("least", "node")).drop("least")
+    mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
+    now = sp.written(now.join(mixed, "band", "left_semi"), "mixed")
+    return not now.isEmpty(), now
+
+
+def _overlap(a, b, threshold: int):
+    """The least intersection of sets of sizes a and b that reaches the threshold."""
+    return F.ceil((a + b) * threshold / float(100 + threshold) - 1e-9)
+
+
+def _rest(band: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that may still be linked, by prefixes.
+
+    With all shingles in one order, rare ones first, two sets of sizes a and b whose intersection is at least o share
+    one among the first a - o + 1 of the one and the first b - o + 1 of the other. In a group of near copies those are
+    the edits of each copy, not what all have. Of a shingle's nodes, those of the commonest component aren't paired
+    with each other.
+    """
+    nodes = band.select("node", "n", "comp").distinct()
+    rows = full.join(nodes.hint("merge"), "node").select("node", "n", "comp", F.explode("shingles").alias("x"))
+    often = rows.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1")
+    several = rows.join(often, "x").groupBy("node", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))
+    # those that only this node has come first in the order; the shortest partner has the longest prefix
+    place = F.transform("xs", lambda v, i: F.struct(v["x"].alias("x"), (F.col("n") - F.size("xs") + i + 1).alias("place")))
+    least = F.ceil(F.col("n") * threshold / 100.0 - 1e-9)
+    ahead = F.filter(place, lambda v: v["place"] <= F.col("n") - least + 1)
+    heads = sp.written(several.select("node", "n", "comp", F.explode(ahead).alias("v")).select("node", "n", "comp", "v.x", "v.place"), "prefixes")
+    major = heads.groupBy("x", "comp").agg(F.count("*").alias("k")).groupBy("x").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count("*").alias("comps")).filter("comps > 1").select("x", "major")
+    right = heads.join(major, "x")
+    left = right.filter("comp <> major").select("x", *(F.col(c).alias(f"l_{c}") for c in ("node", "n", "comp", "place")))
+    need = _overlap(F.col("n"), F.col("l_n"), threshold)
+    near = (right["x"] == left["x"]) & (F.col("comp") != F.col("l_comp")) & (F.col("place") <= F.col("n") - need + 1) & (F.col("l_place") <= F.col("l_n") - need + 1)
+    return right.join(left, near).select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
+
+
+def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80, bands: int = 25, rows: int = 4) -> DataFrame:
     """Per document id: ``n_shingles``, ``component_id`` (the least id reachable) and ``kept``."""
     spark = docs.sparkSession
     every = sp.id_and_text(docs, id_col, text_col)
@@ -220,38 +252,24 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     # equal sets: one class, named by its least id
     classes = sign.filter("n_shingles > 0").groupBy("set_hash", "set_check", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     classes = sp.written(classes.select("node", F.col("n_shingles").alias("n"), "set_hash", "set_check", "bands"), "classes")
-    sizes = classes.select("node", "n")
-    band = classes.select("node", F.explode("bands").alias("band"))
+    band = classes.select("node", "n", F.explode("bands").alias("band"))
     shared = band.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     band = sp.written(band.join(shared, "band"), "bands")
     # hubs: the nodes with most company
     weight = band.groupBy("node").agg(F.sum("members").alias("weight"))
-    band = sp.written(band.join(weight, "node").select("band", "node", "members", F.struct((-F.col("weight")).alias("w"), F.col("node").alias("node")).alias("turn")), "buckets")
-    hub = band.groupBy("band").agg(F.min("turn")["node"].alias("hub"))
-    pairs = band.select("band", "node").join(hub, "band").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = sp.written(verified(pairs, named, shingle, threshold, sizes), "links")
+    band = sp.written(band.join(weight, "node").select("band", "node", "n", "members", (-F.col("weight")).alias("turn")), "buckets")
+    full = sets_of(named.join(band.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), shingle)
+    full = sp.written(full.select(F.col("doc_id").alias("node"), "shingles"), "sets")
+    hub = band.groupBy("band").agg(F.min(F.struct("turn", "node", "n")).alias("h")).select("band", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    fits = 100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")  # else sizes alone rule the pair out
+    pairs = band.join(hub, "band").filter("node <> hub").filter(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    links = sp.written(verified(pairs, full, threshold), "links")
     of = components(links)
-    tried, first, width = None, 1, 8
-    while True:
-        # buckets that still hold different components
-        now = band.join(of, "node", "left").select("band", "node", "members", "turn", F.coalesce("least", "node").alias("comp"))
-        mixed = now.filter(F.col("members") > first + (1 if first > 1 else 0)).groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-        mixed = sp.written(now.join(mixed, "band"), "mixed")
-        if mixed.isEmpty():
-            break
-        ranked = mixed.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy("turn")))
-        hubs = ranked.filter((F.col("r") > first) & (F.col("r") <= first + width)).select("band", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("r").alias("hub_r"))
-        more = ranked.filter(F.col("r") > first).join(hubs, "band").filter("comp <> hub_comp AND r > hub_r").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if tried is not None:
-            more = more.join(tried, ["a", "b"], "left_anti")
-        more = sp.written(more, "more")
-        tried = more if tried is None else tried.unionByName(more)
-        if not more.isEmpty():
-            found = sp.written(verified(more, named, shingle, threshold, sizes), "links")
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                of = components(links)
-        first, width = first + width, width * 4
+    some, mixed = _mixed(band, of)
+    if some:
+        found = sp.written(verified(_rest(mixed, full, threshold), full, threshold), "links")
+        if not found.isEmpty():
+            of = components(links.unionByName(found))
     # from classes back to documents
     least = classes.join(of, "node", "left").select("set_hash", "set_check", F.col("n").alias("n_shingles"), F.coalesce("least", "node").alias("component_id"))
     out = sign.select("doc_id", "n_shingles", "set_hash", "set_check").join(least, ["set_hash", "set_check", "n_shingles"], "left")
