@@ -20,8 +20,8 @@ probability (1 - 0.8^4)^25 = 2e-6, one of 0.85 with 1e-8.  Sets are of 64-bit ha
 of shingles.
 
 Defined cases: a document without words, or with a null text, has an empty set and
-is linked with nothing.  Rows that repeat a document id are one document whose set
-is that of all its rows.  A null id is left out of grouping: its row comes back with
+is linked with nothing.  Rows that repeat a document id are one document of their
+distinct texts, joined by line breaks.  A null id is left out of grouping: its row comes back with
 a null component and is kept.  An empty table gives an empty one.  Other columns
 don't matter, whatever their names.
 """
@@ -246,7 +246,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     named = every.filter("doc_id IS NOT NULL")
     sign = sp.written(signed(named, shingle, bands, rows), "signatures")
     if docs_repeat(sign):  # rows of one id: one document with the words of all
-        joined = named.groupBy("doc_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list("text"))).alias("text"))
+        joined = named.groupBy("doc_id").agg(F.concat_ws("\n", F.array_sort(F.collect_set("text"))).alias("text"))
         named = sp.written(joined, "documents")
         sign = sp.written(signed(named, shingle, bands, rows), "signatures")
     # equal sets: one class, named by its least id

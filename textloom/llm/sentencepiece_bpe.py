@@ -56,6 +56,19 @@ def _fields(data: bytes):
             yield tag >> 3, data[at - size : at]
 
 
+def _spaced(chunk: tx.Chunk) -> tx.Chunk:
+    """The chunk with a space for each U+2581, which has the same pieces."""
+    buf = chunk.buf
+    at = np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] == 0x96) & (buf[2:] == 0x81)) if len(buf) > 2 else np.zeros(0, np.int64)
+    if not len(at):
+        return chunk
+    buf = buf.copy()
+    buf[at] = 0x20
+    keep = np.ones(len(buf), bool)
+    keep[at + 1] = keep[at + 2] = False
+    return tx.Chunk(buf[keep], np.concatenate([[0], np.cumsum(keep)])[chunk.off])
+
+
 class Model:
     """A BPE model with byte fallback."""
 
@@ -132,7 +145,8 @@ class Model:
         return np.concatenate([s for s, _ in parts]), np.concatenate([[0], *(o[1:] + b for (_, o), b in zip(parts, base))])
 
     def prepare(self, chunk: tx.Chunk) -> tx.Chunk:
-        """The texts with a space put before each that isn't empty."""
+        """The texts with a space put before each that isn't empty, and spaces for the sign that stands for a space."""
+        chunk = _spaced(chunk)
         full = np.diff(chunk.off) > 0
         if not self.prefix:
             return chunk
