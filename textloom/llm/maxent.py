@@ -81,15 +81,33 @@ class Sequence:
 
 
 def softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]]
+    """Softmax of the summed weights of each column of ``rows``; sums are held within +-60, where float32 neither overflows nor is 0."""
+    z = weights.take(rows[0], 0)
+    part = np.empty_like(z)
     for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(1, keepdims=True)
+        z += np.take(weights, r, 0, part, "clip")
+    np.clip(z, -60, 60, z)
     np.exp(z, z)
-    z /= z.sum(1, keepdims=True)
+    z /= np.einsum("ij->i", z)[:, None]
     return z
 
 
+def sums_by(key: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sum of each one's rows of g (entry i of the keys belongs to row i modulo g's length), and how many it has."""
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    size = np.diff(np.append(begin, len(key)))
+    order %= len(g)
+    total = g.take(order[begin], 0)  # of keys with one row that is all
+    several = np.flatnonzero(size > 1)
+    if len(several):
+        more = size[several]
+        at = order[np.repeat(size > 1, size)]
+        total[several] = np.add.reduceat(g.take(at, 0), np.cumsum(more) - more, axis=0)
+    return ordered[begin], total, size
+
+
 class Learner:
     def __init__(self, weights: list[np.ndarray], rate: float = RATE):
         self.weights = [w.copy() for w in weights]
@@ -104,19 +122,15 @@ class Learner:
                 self.step(table, rows, target)
 
     def step(self, table: int, rows: np.ndarray, target: np.ndarray) -> None:
-        n = len(target)
-        weights = self.weights[table]
+        weights, square = self.weights[table], self.square[table]
         g = softmax(weights, rows)
-        g[np.arange(n), target] -= 1
-        flat = rows.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        at = ordered[begin]
-        total = np.add.reduceat(g[order % n], begin, axis=0)
-        self.square[table][at] += np.einsum("ij,ij->i", total, total)
-        weights[at] -= self.rate * total / np.sqrt(self.square[table][at])[:, None]
-        self.visits[table][at] += np.diff(np.append(begin, len(flat)))
+        g[np.arange(len(target)), target] -= 1
+        at, total, size = sums_by(rows.reshape(-1), g)
+        grown = square[at] + np.einsum("ij,ij->i", total, total)
+        square[at] = grown
+        total *= (self.rate / np.sqrt(grown))[:, None]
+        weights[at] = weights.take(at, 0) - total
+        self.visits[table][at] += size
 
 
 PARTS = "part int, block int, weights binary, visits binary"
