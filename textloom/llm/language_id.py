@@ -23,7 +23,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from . import spark as sp
 from . import text as tx
@@ -185,23 +184,21 @@ def train(labelled: DataFrame, centroids: int = 4, sample: int = 1500, most_lang
     return Model(names, idf, np.array([np.frombuffer(r.centroid, np.float32) for r in found]), owner, np.array([margin * usual[x] for x in names]))
 
 
-def identify(docs: DataFrame, model: Model, rest: list[str]) -> DataFrame:
+def identify(docs: DataFrame, model: Model, rest: list[str], text: str = "text") -> DataFrame:
     """Columns ``rest`` with lang_pred, score and rejected."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most 256 languages of a few vectors
-    fields = docs.select("text", *rest).schema.fields[1:]
-    schema = StructType([*fields, *sp.schema_of("lang_pred string, score double, rejected boolean").fields])
+    schema = sp.rows_schema(docs, rest, "lang_pred string, score double, rejected boolean")
     arrow = sp.arrow_schema(schema)
 
     def run(batches):
-        for rows, _ in tx.chunks(batches, "text"):
-            columns = [*rows.columns[1:], *held.value.predict(rows.column(0))]
-            yield pa.RecordBatch.from_arrays([(x if isinstance(x, pa.Array) else pa.array(x)).cast(f.type) for x, f in zip(columns, arrow)], schema=arrow)
+        for rows, _ in tx.chunks(batches, text):
+            yield sp.rows_batch(arrow, rows, rest, *held.value.predict(rows.column(rows.schema.get_field_index(text)).cast(pa.string())))
 
-    return sp.arrow_map(docs.select("text", *rest), run, schema)
+    return sp.arrow_map(docs.select(*dict.fromkeys([text, *rest])), run, schema)
 
 
-def _named(docs: DataFrame, id_col: str, text_col: str, lang_col: str, *more: Column) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), *more)
+def _named(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
 
 
 def predict_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", is_held_out: Callable[[Column], Column] = held_out, **options) -> DataFrame:
@@ -214,9 +211,6 @@ def predict_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The documents whose language is known, with all their columns as they are."""
-    named = _named(docs, id_col, text_col, lang_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    model = train(named.select("doc_id", "text", "lang"), **options)
-    good = identify(named, model, ["row"]).filter(~F.col("rejected"))
-    return good.select(*(F.col("row")[c].alias(c) for c in docs.columns))
-
-
+    model = train(_named(docs, id_col, text_col, lang_col), **options)
+    whole, own = sp.by_place(docs)
+    return sp.under_old_names(identify(whole, model, list(own.values()), own[text_col]).filter(~F.col("rejected")), own)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Arrow batches are bounded by rows and bytes, so that a run of long texts can't fill a worker.
-BATCH_ROWS, BATCH_BYTES = 2048, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -54,9 +55,42 @@ def schema_of(spec: str | StructType) -> StructType:
     return spec if isinstance(spec, StructType) else _parse_datatype_string(spec)
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the system: the worker lives on and its next task may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    def run(batches):
+        yield from function(batches)
+        give_back()
+
     prepare(df.sparkSession)
-    return df.mapInArrow(function, schema_of(schema))
+    return df.mapInArrow(run, schema_of(schema))
+
+
+def by_place(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """All columns under names of our own (c0, c1, ...), and the own name of each column."""
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), own
+
+
+def under_old_names(df: DataFrame, own: dict[str, str]) -> DataFrame:
+    return df.select(*(F.col(n).alias(c) for c, n in own.items()))
+
+
+def rows_schema(docs: DataFrame, rest: list[str], added: str) -> StructType:
+    """The columns ``rest`` of a frame, and those added."""
+    return StructType([*docs.select(*rest).schema.fields, *schema_of(added).fields])
+
+
+def rows_batch(arrow: pa.Schema, rows: pa.RecordBatch, rest: list[str], *columns) -> pa.RecordBatch:
+    """The columns ``rest`` of a batch with further columns."""
+    arrays = [*(rows.column(rows.schema.get_field_index(c)) for c in rest), *(x if isinstance(x, pa.Array) else pa.array(x, from_pandas=True) for x in columns)]
+    return pa.RecordBatch.from_arrays([x if x.type == f.type else x.cast(f.type) for x, f in zip(arrays, arrow, strict=True)], schema=arrow)
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}

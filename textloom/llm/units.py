@@ -27,7 +27,7 @@ _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8
 class Memory:
     """Ids of units seen before; the number of units kept is bounded."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 120_000):
         self.most, self.index, self.end = most, {}, np.zeros(1, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
