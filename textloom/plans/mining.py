@@ -90,6 +90,13 @@ def graph_components(spark, d):
     return m.connected(p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 7).alias("b")))
 
 
+@query()
+def graph_components_all(spark, d):
+    """The same over all parts, whatever their ids; without SQL, held against union-find in a test."""
+    p = table(spark, d, "part").filter("p_size < 20")
+    return m.connected(p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 7).alias("b")))
+
+
 @query("SELECT doc_id, regexp_extract(text, '(?i)licensed under ([^.\\n]+)', 1) AS name FROM documents WHERE regexp_matches(text, '(?i)licensed under [^.\\n]+')")
 def mine_pattern_entities(spark, d):
     return table(spark, d, "documents").filter(F.col("text").rlike(r"(?i)licensed under [^.\n]+")).select("doc_id", F.regexp_extract("text", r"(?i)licensed under ([^.\n]+)", 1).alias("name"))

@@ -42,6 +42,12 @@ def strings_damerau(spark, d):
     return pairs(spark, d).filter(F.length("a") < 12).select("id", s.measure(s.damerau_full)("a", "b").alias("distance"))
 
 
+@query(f"WITH {_P} SELECT id, CAST(damerau_levenshtein(a, b) AS DOUBLE) AS distance FROM p")
+def strings_damerau_all(spark, d):
+    """The same for names of any length."""
+    return pairs(spark, d).select("id", s.measure(s.damerau_full)("a", "b").alias("distance"))
+
+
 _G = "g AS (SELECT id, length(text) AS n, i AS pos, substr(pad, i + 1, {q}) AS gram FROM (SELECT id, text, repeat(chr(2), {q} - 1) || text || repeat(chr(3), {q} - 1) AS pad FROM st), unnest(range(0, length(text) + {q} - 1)) t(i))"
 _NAMES = "st AS (SELECT p_partkey AS id, lower(p_name) AS text FROM part)"
 
