@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import vector as v
+from textloom.operators.mining import connected
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
@@ -71,7 +72,10 @@ def k_means(vectors: DataFrame, k: int, seed: int = 7) -> DataFrame:
 
 
 def agglomerate(vectors: DataFrame, least: float = 0.5, linkage: str = "average") -> DataFrame:
-    """Hierarchical clustering inside blocks (block, id, vec): id and cluster (its least id). Blocks are bounded by the caller."""
+    """Hierarchical clustering inside blocks (block, id, vec): id and cluster (its least id). Blocks are bounded by the caller.
+
+    A column n, if there is one, is how many equal vectors a row stands for.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -79,7 +83,7 @@ def agglomerate(vectors: DataFrame, least: float = 0.5, linkage: str = "average"
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         sim = x @ x.T
         np.fill_diagonal(sim, -np.inf)
-        size, group = np.ones(len(x)), np.arange(len(x))
+        size, group = pdf["n"].to_numpy(float).copy() if "n" in pdf else np.ones(len(x)), np.arange(len(x))
         while len(x) > 1:
             i, j = divmod(int(np.argmax(np.round(sim, 12))), len(x))
             if sim[i, j] < least:
@@ -96,6 +100,64 @@ def agglomerate(vectors: DataFrame, least: float = 0.5, linkage: str = "average"
     return vectors.groupBy("block").applyInPandas(run, "id long, cluster long")
 
 
+def links_above(vectors: DataFrame, least: float, block: int = 8000, tile: int = 1000) -> DataFrame:
+    """Links (a, b) with the components of all pairs of vectors (id, vec; none zero) whose cosine is at least ``least``.
+
+    Every block of rows meets every other one, which is quadratic work; each tile of a pair of blocks returns a forest of
+    its pairs. Cosines are of single precision, so links may also hold pairs up to 1e-5 below.
+    """
+    blocks = max(1, -(-vectors.count() // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")
+    each = vectors.select("id", v.unit(F.col("vec")).cast("array<float>").alias("vec"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = each.select("id", "vec", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x, of = pdf["id"].to_numpy(), np.stack(pdf["vec"].to_numpy()), pdf["own"].to_numpy()
+        left, right = np.flatnonzero(of == pdf["p"].iat[0]), np.flatnonzero(of == pdf["q"].iat[0])
+        out = []
+        for i in range(0, len(left), tile):
+            for j in range(0, len(right), tile):
+                row, col = left[i : i + tile], right[j : j + tile]
+                near = x[row] @ x[col].T >= least - 1e-5
+                near &= row[:, None] != col
+                if not near.any():
+                    continue
+                # the least place in each one's component: rows first, then columns
+                top, side, far = np.arange(len(row)), np.arange(len(row), len(row) + len(col)), len(row) + len(col)
+                while True:
+                    new_side = np.minimum(side, np.where(near, top[:, None], far).min(axis=0))
+                    new_top = np.minimum(top, np.where(near, new_side, far).min(axis=1))
+                    if (new_side == side).all() and (new_top == top).all():
+                        break
+                    top, side = new_top, new_side
+                both = ids[np.concatenate([row, col])]
+                out.append(pd.DataFrame({"a": both, "b": both[np.concatenate([top, side])]}))
+        links = pd.concat(out) if out else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+        return links[links["a"] != links["b"]]
+
+    found = dealt.groupBy("p", "q").applyInPandas(run, "a long, b long")
+    return found.checkpoint() if vectors.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else found.persist()
+
+
+def agglomerate_all(vectors: DataFrame, least: float = 0.5, linkage: str = "average", block: int = 8000) -> DataFrame:
+    """Hierarchical clustering of all vectors (id, vec; ids are distinct): id and cluster (its least id).
+
+    Two clusters are only merged if their linkage is at least ``least``, and then some pair between them is: so with
+    average, max and min linkage, for a positive ``least``, clustering inside the components of such pairs is the same as
+    over all rows (but for ties within rounding). Equal vectors are merged beforehand, as they are the most similar.
+    One component's matrix is held by one task.
+    """
+    if least <= 0:
+        raise ValueError("least must be positive")
+    vectors = vectors.select("id", "vec")
+    full = vectors.filter(F.exists("vec", lambda x: x != 0))
+    unlike = full.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")).persist()
+    parts = connected(links_above(unlike, least, block))
+    merged = agglomerate(unlike.join(parts.select(F.col("node").alias("id"), F.col("least").alias("block")), "id"), least, linkage)
+    stand = unlike.join(merged, "id", "left").select("vec", F.coalesce("cluster", "id").alias("cluster"))
+    return vectors.join(stand, "vec", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+
+
 def transitions(sequences: DataFrame) -> DataFrame:
     """prev, tag, n, p: maximum-likelihood transitions of rows (seq, pos, tag); sequences begin in <s>."""
     w = Window.partitionBy("seq").orderBy("pos")
