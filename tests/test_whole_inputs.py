@@ -69,3 +69,11 @@ def test_agglomeration_merges_across_labels_and_ids(spark):
     got = {r.id: r.cluster for r in plans.QUERIES["ml_agglomerative"](spark, SF).collect()}
     assert near and len(got) == len(ids)
     assert sum(k != c for k, c in got.items()) >= 1 and all(got[a] == got[b] for a, b in near[:1] if len(near) == 1)
+
+
+def test_postings_of_all_terms(spark):
+    """Every token is in some posting list, not only those of the topics."""
+    sf = "/root/testdata/sf0.001"
+    got = plans.QUERIES["corpus_postings_all"](spark, sf).groupBy("doc_id").agg({"tf": "sum", "term": "count"}).collect()
+    want = plans.QUERIES["corpus_tokens"](spark, sf).collect()
+    assert {(r.doc_id, r["sum(tf)"], r["count(term)"]) for r in got} == {(r.doc_id, r.n_tokens, r.n_types) for r in want}

@@ -61,6 +61,12 @@ def corpus_postings(spark, d):
     return c.postings(toks(spark, d, TERMS)).select("term", "doc_id", "tf", F.array_join("positions", " ").alias("positions"))
 
 
+@query(f"WITH {TOKENS} SELECT term, doc_id, count(*) AS tf, md5(array_to_string(list(pos ORDER BY pos), ' ')) AS positions FROM tokens GROUP BY term, doc_id")
+def corpus_postings_all(spark, d):
+    """The same for all terms; of the positions a digest."""
+    return c.postings(toks(spark, d)).select("term", "doc_id", "tf", F.md5(F.array_join("positions", " ").cast("binary")).alias("positions"))
+
+
 @query(f"WITH {STATS} SELECT n_docs, n_tokens, round(avg_dl, 6) AS avg_dl, min_dl, max_dl FROM cs")
 def corpus_stats(spark, d):
     return c.collection_stats(vectors(spark, d)).withColumn("avg_dl", r6("avg_dl"))
@@ -80,6 +86,12 @@ def corpus_collection_counts(spark, d):
     return v.rollup("term", "lang").agg(F.sum("tf").alias("n")).select("lang", "term", "n")
 
 
+@query(f"WITH {TF} SELECT lang, term, CAST(sum(tf) AS BIGINT) AS n FROM tf JOIN documents USING (doc_id) GROUP BY ROLLUP (term, lang)")
+def corpus_collection_counts_all(spark, d):
+    v = vectors(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return v.rollup("term", "lang").agg(F.sum("tf").alias("n")).select("lang", "term", "n")
+
+
 @query(f"WITH {VOCAB} SELECT cf AS freq, count(*) AS n FROM vocab GROUP BY cf")
 def agg_freq_of_freq(spark, d):
     return c.vocabulary(vectors(spark, d)).groupBy(F.col("cf").alias("freq")).agg(F.count("*").alias("n"))
@@ -261,6 +273,11 @@ def window_context(spark, d):
     return c.context(toks(spark, d), 2).filter("term IN ('le', 'und')").withColumn("before", F.array_join("before", " ")).withColumn("after", F.array_join("after", " "))
 
 
+@query(f"WITH {TOKENS} SELECT * FROM (SELECT doc_id, pos, term, coalesce(string_agg(term, ' ' ORDER BY pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(term, ' ' ORDER BY pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS after FROM tokens)")
+def window_context_all(spark, d):
+    return c.context(toks(spark, d), 2).withColumn("before", F.array_join("before", " ")).withColumn("after", F.array_join("after", " "))
+
+
 @query("WITH n AS (SELECT l_returnflag AS i, l_linestatus AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT i, j, round(v / sum(v) OVER (PARTITION BY j), 6) AS by_column, round(v / sum(v) OVER (PARTITION BY i), 6) AS by_row, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS min_max FROM n")
 def window_matrix_normalization(spark, d):
     n = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("i"), F.col("l_linestatus").alias("j")).agg(F.sum("l_quantity").alias("v"))

@@ -153,6 +153,11 @@ def ir_snippets(spark, d):
     return r.snippets(table(spark, d, "documents"), topics(spark)).filter("qid IN (2, 3) AND hits = 3").drop("line")
 
 
+@query(f"WITH {TOPIC}, l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), t AS (SELECT DISTINCT doc_id, line_no, unnest(string_split(trim(regexp_replace(lower(line), '\\s+', ' ', 'g')), ' ')) AS term FROM l) SELECT qid, doc_id, CAST(line_no AS INT) AS line_no, count(*) AS hits FROM t JOIN (SELECT DISTINCT qid, term FROM q) USING (term) GROUP BY ALL")
+def ir_snippets_all(spark, d):
+    return r.snippets(table(spark, d, "documents"), topics(spark)).drop("line")
+
+
 @query(f"{_M}, s AS ({_BM25}), l AS (SELECT source AS label, qid, sum(score) AS score FROM (SELECT *, {_TOP} FROM s) JOIN documents USING (doc_id) WHERE rank <= 200 GROUP BY ALL) SELECT qid, label, round(score, 6) AS score FROM l")
 def ir_label_knn(spark, d):
     best = r.top(r.bm25(index(spark, d), topics(spark)), 200)
