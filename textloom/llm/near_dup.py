@@ -15,6 +15,10 @@ hold different components are then joined on the prefixes of their sets, which f
 every pair of them that may reach the threshold: no candidate is dropped, and members
 of a large group aren't paired with each other.  Pairs are verified on full sets.
 
+**Hot keys.** In each join of many rows with one row a key, keys with many rows (at
+most ``spark.HOT`` of them, whatever the data) are dealt over several tasks, and the
+one row goes to each of these.
+
 With the default 25 bands of 4 slots, a pair of similarity 0.8 shares no band with
 probability (1 - 0.8^4)^25 = 2e-6, one of 0.85 with 1e-8.  Sets are of 64-bit hashes
 of shingles.
@@ -146,34 +150,42 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
     """Union-find over links (a, b): node and the least node of its component.
 
     Alternates large-star and small-star steps, which double what a star reaches,
-    until they change nothing; each step is a few aggregations by node, and a hub's
-    links are summed up before they are shuffled.
+    until they change nothing; each step is a few aggregations by node and a join in
+    which a hub's links are dealt over many tasks.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = sp.written(edges, what)
+    n = edges.count()
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("k"))
         # large star: larger neighbours of u are linked with u's least one
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = sp.join_one(both.filter("v > u"), least.select("u", "m"), ["u"], sp.hot_keys(least, ["u"], 2 * n), "v")
+        large = sp.written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), what)
         # small star: the least neighbour of each node takes its other smaller ones
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        new = sp.written(small, what)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        small = sp.join_one(large, least.select("u", "m"), ["u"], sp.hot_keys(least, ["u"], large.count()), "v")
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        edges = sp.written(small, what)
         # settled: no node stands on both sides and each has one link
-        n, sources = new.agg(F.count("*"), F.countDistinct("u")).first()
-        tops = new.select("v").distinct().join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        edges = new
+        n, sources = edges.agg(F.count("*"), F.countDistinct("u")).first()
+        tops = edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
         if n == sources and not tops:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("least"))
 
 
 def verified(pairs: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets' intersection is at least ``threshold`` percent of their union."""
-    both = pairs.join(full.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(full.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    pairs = sp.written(pairs, "pairs")
+    total, both = pairs.count(), pairs
+    for side in ("b", "a"):
+        hot = sp.hot_keys(pairs.groupBy(side).agg(F.count("*").alias("k")), [side], total)
+        both = sp.join_one(both, full.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}")), [side], hot, "a" if side == "b" else "b")
 
     def run(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             a, b = (np.asarray(batch.column(k)) for k in (0, 1))
             left, right = batch.column(2), batch.column(3)
             lo, ro = left.offsets.to_numpy(), right.offsets.to_numpy()
@@ -201,12 +213,12 @@ def docs_repeat(full: DataFrame) -> bool:
     return n != distinct
 
 
-def _mixed(band: DataFrame, of: DataFrame) -> tuple[bool, DataFrame]:
-    """The rows of buckets that still hold different components, with ``comp``; and whether there are any."""
-    now = band.drop("comp").join(of, "node", "left").withColumn("comp", F.coalesce("least", "node")).drop("least")
-    mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-    now = sp.written(now.join(mixed, "band", "left_semi"), "mixed")
-    return not now.isEmpty(), now
+def _mixed(band: DataFrame, of: DataFrame, total: int) -> tuple[int, DataFrame]:
+    """The rows of buckets that still hold different components, with ``comp``; and how many there are."""
+    now = sp.written(band.select("band", "node", "n").join(of, "node", "left").select("band", "node", "n", F.coalesce("least", "node").alias("comp")), "placed")
+    buckets = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi")
+    out = sp.written(sp.join_one(now, buckets.select("band"), ["band"], sp.hot_keys(buckets, ["band"], total), "node"), "mixed")
+    return out.count(), out
 
 
 def _overlap(a, b, threshold: int):
@@ -214,34 +226,79 @@ def _overlap(a, b, threshold: int):
     return F.ceil((a + b) * threshold / float(100 + threshold) - 1e-9)
 
 
-def _rest(band: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
+_SLOTS = 1 << 18
+HEADS = "node long, n long, comp long, x long, place long"
+
+
+def _order(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each of ``_SLOTS`` slots: a table of a fixed size that puts rare shingles before frequent ones."""
+
+    def run(batches):
+        total = np.zeros(_SLOTS, np.int64)
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy()
+            total += np.bincount(_slot(x), minlength=_SLOTS)
+        at = np.flatnonzero(total)
+        yield sp.batch("slot int, n long", at, total[at])
+
+    rows = sp.arrow_map(sets.select("shingles"), run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(_SLOTS, np.int64)
+    out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def _slot(x: np.ndarray) -> np.ndarray:
+    return (x.view(np.uint64) >> np.uint64(64 - 18)).astype(np.int64)
+
+
+def _heads(sets: DataFrame, threshold: int) -> DataFrame:
+    """The prefix of each set in the common order, with each shingle's place in it."""
+    held = sets.sparkSession.sparkContext.broadcast(_order(sets))  # _SLOTS numbers
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, n, comp = (np.asarray(batch.column(k)) for k in (0, 1, 2))
+            lists = batch.column(3)
+            x = lists.flatten().to_numpy()
+            size = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), size)
+            order = np.lexsort((x, held.value[_slot(x)], row))
+            first = np.cumsum(size) - size
+            place = np.arange(len(x)) - first[row] + 1
+            keep = place <= (n - -(-n * threshold // 100) + 1)[row]  # the shortest partner has the longest prefix
+            at = row[keep]
+            yield sp.batch(HEADS, node[at], n[at], comp[at], x[order][keep], place[keep])
+
+    return sp.arrow_map(sets.select("node", "n", "comp", "shingles"), run, HEADS)
+
+
+def _rest(mixed: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of nodes in different components that may still be linked, by prefixes.
 
     With all shingles in one order, rare ones first, two sets of sizes a and b whose intersection is at least o share
     one among the first a - o + 1 of the one and the first b - o + 1 of the other. In a group of near copies those are
-    the edits of each copy, not what all have. Of a shingle's nodes, those of the commonest component aren't paired
-    with each other.
+    the edits of each copy, not what all have. Any order is right; frequencies by slot only make it a good one. Of a
+    shingle's nodes, those of the commonest component aren't paired with each other.
     """
-    nodes = band.select("node", "n", "comp").distinct()
-    rows = full.join(nodes.hint("merge"), "node").select("node", "n", "comp", F.explode("shingles").alias("x"))
-    often = rows.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1")
-    several = rows.join(often, "x").groupBy("node", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))
-    # those that only this node has come first in the order; the shortest partner has the longest prefix
-    place = F.transform("xs", lambda v, i: F.struct(v["x"].alias("x"), (F.col("n") - F.size("xs") + i + 1).alias("place")))
-    least = F.ceil(F.col("n") * threshold / 100.0 - 1e-9)
-    ahead = F.filter(place, lambda v: v["place"] <= F.col("n") - least + 1)
-    heads = sp.written(several.select("node", "n", "comp", F.explode(ahead).alias("v")).select("node", "n", "comp", "v.x", "v.place"), "prefixes")
-    major = heads.groupBy("x", "comp").agg(F.count("*").alias("k")).groupBy("x").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count("*").alias("comps")).filter("comps > 1").select("x", "major")
-    right = heads.join(major, "x")
-    left = right.filter("comp <> major").select("x", *(F.col(c).alias(f"l_{c}") for c in ("node", "n", "comp", "place")))
+    nodes = mixed.select("node", "n", "comp").distinct()
+    sets = sp.written(full.join(nodes, "node").select("node", "n", "comp", "shingles"), "rest")
+    heads = sp.written(_heads(sets, threshold), "prefixes")
+    major = heads.groupBy("x", "comp").agg(F.count("*").alias("c")).groupBy("x").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("c").alias("k")).filter("comps > 1")
+    major = sp.written(major.select("x", "major", "k"), "shared")
+    hot = sp.hot_keys(major, ["x"], heads.count())
+    right = sp.written(sp.join_one(heads, major.select("x", "major"), ["x"], hot, "node"), "meeting")
+    every = right.join(F.broadcast(hot), "x", "left").withColumn("part", sp.part_of("node"))
+    left = right.filter("comp <> major").join(F.broadcast(hot), "x", "left").withColumn("part", sp.all_parts())
+    left = left.select("x", "part", *(F.col(c).alias(f"l_{c}") for c in ("node", "n", "comp", "place")))
     need = _overlap(F.col("n"), F.col("l_n"), threshold)
-    near = (right["x"] == left["x"]) & (F.col("comp") != F.col("l_comp")) & (F.col("place") <= F.col("n") - need + 1) & (F.col("l_place") <= F.col("l_n") - need + 1)
-    return right.join(left, near).select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
+    near = (F.col("comp") != F.col("l_comp")) & (F.col("place") <= F.col("n") - need + 1) & (F.col("l_place") <= F.col("l_n") - need + 1)
+    return every.join(left, ["x", "part"]).filter(near).select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80, bands: int = 25, rows: int = 4) -> DataFrame:
     """Per document id: ``n_shingles``, ``component_id`` (the least id reachable) and ``kept``."""
-    spark = docs.sparkSession
     every = sp.id_and_text(docs, id_col, text_col)
     named = every.filter("doc_id IS NOT NULL")
     sign = sp.written(signed(named, shingle, bands, rows), "signatures")
@@ -249,30 +306,33 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
         joined = named.groupBy("doc_id").agg(F.concat_ws("\n", F.array_sort(F.collect_set("text"))).alias("text"))
         named = sp.written(joined, "documents")
         sign = sp.written(signed(named, shingle, bands, rows), "signatures")
-    # equal sets: one class, named by its least id
-    classes = sign.filter("n_shingles > 0").groupBy("set_hash", "set_check", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    classes = sp.written(classes.select("node", F.col("n_shingles").alias("n"), "set_hash", "set_check", "bands"), "classes")
-    band = classes.select("node", "n", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
-    band = sp.written(band.join(shared, "band"), "bands")
+    # equal sets: one class, named by its least id; only that row's bands go on
+    alike = ["set_hash", "set_check", "n_shingles"]
+    classes = sp.written(sign.filter("n_shingles > 0").groupBy(*alike).agg(F.min("doc_id").alias("node"), F.count("*").alias("k")), "classes")
+    band = sign.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands").join(classes.select("node"), "node", "left_semi").select("node", "n", F.explode("bands").alias("band"))
+    total = bands * classes.count()
+    shared = sp.written(band.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
+    hot = sp.hot_keys(shared.select("band", F.col("members").alias("k")), ["band"], total)
+    band = sp.written(sp.join_one(band, shared, ["band"], hot, "node"), "bands")
     # hubs: the nodes with most company
     weight = band.groupBy("node").agg(F.sum("members").alias("weight"))
-    band = sp.written(band.join(weight, "node").select("band", "node", "n", "members", (-F.col("weight")).alias("turn")), "buckets")
-    full = sets_of(named.join(band.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), shingle)
+    band = sp.written(band.join(weight, "node").select("band", "node", "n", (-F.col("weight")).alias("turn")), "buckets")
+    full = sets_of(named.join(band.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
     full = sp.written(full.select(F.col("doc_id").alias("node"), "shingles"), "sets")
     hub = band.groupBy("band").agg(F.min(F.struct("turn", "node", "n")).alias("h")).select("band", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
     fits = 100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")  # else sizes alone rule the pair out
-    pairs = band.join(hub, "band").filter("node <> hub").filter(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs = sp.join_one(band, hub, ["band"], hot, "node").filter("node <> hub").filter(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     links = sp.written(verified(pairs, full, threshold), "links")
     of = components(links)
-    some, mixed = _mixed(band, of)
+    some, mixed = _mixed(band, of, total)
     if some:
         found = sp.written(verified(_rest(mixed, full, threshold), full, threshold), "links")
         if not found.isEmpty():
             of = components(links.unionByName(found))
     # from classes back to documents
-    least = classes.join(of, "node", "left").select("set_hash", "set_check", F.col("n").alias("n_shingles"), F.coalesce("least", "node").alias("component_id"))
-    out = sign.select("doc_id", "n_shingles", "set_hash", "set_check").join(least, ["set_hash", "set_check", "n_shingles"], "left")
+    least = classes.join(of, "node", "left").select(*alike, F.coalesce("least", "node").alias("component_id"))
+    hot = sp.hot_keys(classes, alike, sign.count())
+    out = sp.join_one(sign.select("doc_id", *alike), least, alike, hot, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     out = out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
     return out.unionByName(every.filter("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))

@@ -51,6 +51,34 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than the HOT-th part of a join's rows are hot: there are fewer than HOT of them.
+HOT = 4096
+
+
+def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Of a table with each key's rows ``k``: the hot keys, and over how many ``parts`` each is to be dealt."""
+    share = max(1.0, total / HOT)
+    return counts.filter(F.col("k") > share).select(*keys, F.ceil(F.col("k") / share).cast("int").alias("parts"))
+
+
+def part_of(unique: str):
+    """The part of a row of the side with many rows a key; ``parts`` is null for keys that aren't hot."""
+    return F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(unique), F.col("parts")).cast("int"))
+
+
+def all_parts():
+    """All parts of a row of the side with few rows a key."""
+    return F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+
+
+def join_one(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, unique: str, how: str = "inner") -> DataFrame:
+    """Joins rows with a table of one row a key; hot keys are dealt over tasks by the column ``unique``."""
+    known = F.broadcast(hot)  # fewer than HOT rows
+    left = many.join(known, keys, "left").withColumn("__part", part_of(unique)).drop("parts")
+    right = one.join(known, keys, "left").withColumn("__part", all_parts()).drop("parts")
+    return left.join(right, [*keys, "__part"], how).drop("__part")
+
+
 def schema_of(spec: str | StructType) -> StructType:
     return spec if isinstance(spec, StructType) else _parse_datatype_string(spec)
 
