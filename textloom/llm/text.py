@@ -8,7 +8,6 @@ whatever the lengths of the texts; a text is never cut.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +38,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 #: Masks that keep the first n bytes of a little-endian 64-bit word.
 _KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-_LONG = 4096
+_PLACE = np.uint64(0x9DDFEA08EB382D69)
 
 
 @dataclass
@@ -124,36 +123,25 @@ def words(chunk: Chunk) -> Words:
 
 
 def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, eight bytes a step; equal spans hash alike in every process."""
+    """A 64-bit hash of each span, of whatever length; equal spans hash alike in every process.
+
+    Blocks of eight bytes are mixed with their place and summed up, so all blocks of all spans are handled at once.
+    """
     size = end - start
-    out = mix64(size)
     if not len(size):
-        return out
+        return np.zeros(0, np.uint64)
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     eights = np.ndarray(len(buf) + 1, np.dtype("<u8"), padded, strides=(1,))
-    on, at, left, h = None, start, size, out
-    if size.max() > _LONG:
-        for i in np.flatnonzero(size > _LONG):
-            out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
-        on = np.flatnonzero(size <= _LONG)
-        at, left, h = start[on], size[on], out[on]
-    while len(at):
-        block = eights[at] & _KEEP[np.minimum(left, 8)]
-        h = h ^ block
-        h *= np.uint64(0x9DDFEA08EB382D69)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xC2B2AE3D27D4EB4F)
-        h ^= h >> np.uint64(29)
-        more = left > 8
-        done = ~more
-        if on is None:
-            out[done] = h[done]
-            on = np.flatnonzero(more)
-        else:
-            out[on[done]] = h[done]
-            on = on[more]
-        at, left, h = at[more] + 8, left[more] - 8, h[more]
-    return out
+    out = mix64(eights[start] & _KEEP[np.minimum(size, 8)]) + size.astype(np.uint64)
+    rest = np.flatnonzero(size > 8)
+    if len(rest):
+        blocks = (size[rest] - 1) // 8  # after the first one
+        first = np.cumsum(blocks) - blocks
+        k = np.arange(int(blocks.sum())) - np.repeat(first, blocks) + 1
+        at = np.repeat(start[rest], blocks) + 8 * k
+        block = eights[at] & _KEEP[np.minimum(np.repeat(end[rest], blocks) - at, 8)]
+        out[rest] += np.add.reduceat(mix64(block ^ _PLACE * k.astype(np.uint64)), first)
+    return mix64(out)
 
 
 def ngrams(word: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
