@@ -4,12 +4,25 @@ Tokens are lower-cased words and one end a document.  A token belongs to one of
 classes and one of 16 buckets of its class, by a hash of its last bytes; the end has
 a bucket of its own.  The model is
 
-    P(token | history) = P(class | history) P(bucket | class, history) P(token | bucket)
+    P(token | history) = P(class | history) P(bucket | class, history) P(token | bucket, word before)
 
 The first two factors are softmaxes over sums of hashed feature weights: the word
-before, the word before that (a skip), both together, and their buckets.  The last is
-the token's add-half share of its bucket's training tokens, where one place stands
-for all unknown tokens.
+before, the word before that (a skip), both together, and their buckets.  The last
+has a parameter for each pair of words of the training texts, however many there are;
+its maximum under a Dirichlet prior has a closed form and needs no gradient:
+
+    P(token | bucket, before) = (n(before, token) + PRIOR P(token | bucket)) / (n(before, bucket) + PRIOR)
+
+P(token | bucket) is the token's add-half share of its bucket's training tokens; tokens
+that aren't in the head share equally what those in it leave, and one unknown place is
+among them.  So the probabilities after each history sum to one.
+
+**Pairs** grow with the corpus and stay in Spark: each text sends its pairs to shards by
+hash of the word before and the bucket, which count them over all training texts and
+return a sum of logarithms for each text.  A training text is scored without its own
+pairs.  The ``TOP`` most frequent words would make shards hot: pairs of two of them are
+counted in a table of a fixed size instead, and so are their buckets, so that their
+other pairs are dealt by the whole pair.
 
 **Training.** Tasks run minibatch gradient steps (AdaGrad) over their part of all
 training documents and give their weights, which are averaged by visits; the next
@@ -20,8 +33,11 @@ over bounded groups, level by level, so nothing grows with the number of tasks.
 ``HEAD``) go to all tasks.  The rest are rare, so no key is hot: documents'
 occurrences of them are joined with the table of counts.
 
+Averages depend on how the texts are dealt to tasks, so scores agree between clusters
+only about as well as two runs of stochastic gradient steps do.
+
 Defined cases: a null or empty text is its end alone; a null id is in training and
-repeated rows are scored each; with no training tokens all scores come from the
+repeated rows are scored alike; with no training tokens all scores come from the
 unknown shares; an empty table gives an empty one; other columns don't matter.
 """
 
@@ -33,13 +49,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import counts
 from . import spark as sp
 from . import text as tx
 
 CLASSES, BUCKETS = 16, 16
 ROWS_1, ROWS_2 = 1 << 15, 1 << 16
 FEATURES = 4
-HEAD = 1 << 18
+HEAD, TOP = 1 << 18, 1 << 10
+PRIOR, GRID = 6.0, 4096.0
 BLOCK = 512
 BATCH = 1 << 14
 RATE = 0.4
@@ -188,47 +206,180 @@ def train_round(docs: DataFrame, weights: list[np.ndarray], group: int = 32) ->
     return [new[:ROWS_1], new[ROWS_1:]]
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
+def count_tokens(docs: DataFrame, docs_a_shard: int = 16_000) -> DataFrame:
     """How often each token is in all texts: key, n."""
+    return counts.count(docs, lambda chunk: Sequence(chunk).key, max(16, docs.count() // docs_a_shard), counts.ROWS, counts.rows)
 
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged():
-            key, n = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(key, kind="stable")
-            key, n = key[order], n[order]
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            held[:] = [(key[begin], np.add.reduceat(n, begin))]
+class Shares:
+    """P(token | bucket): the head's tokens in order of their keys, and of each bucket what another token has."""
 
-        def out():
-            for key, n in held:
-                for k in range(0, len(key), 1 << 16):
-                    yield sp.batch("key long, n long", key[k : k + (1 << 16)].view(np.int64), n[k : k + (1 << 16)])
-            held.clear()
+    def __init__(self, key: np.ndarray, n: np.ndarray, bucket_n: np.ndarray, bucket_types: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.n = key[order], n[order]
+        room = bucket_n + 0.5 * (bucket_types + 1)
+        of = (self.key & np.uint64(255)).astype(np.int64)
+        size = CLASSES * BUCKETS
+        head_n, head_types = np.bincount(of, self.n, size), np.bincount(of, minlength=size)
+        left = room - head_n - 0.5 * head_types
+        self.log = np.log10((self.n + 0.5) / room[of])
+        self.other = np.log10(left / (bucket_types - head_types + 1) / room)
+        top = np.argsort(-self.n, kind="stable")[:TOP]
+        self.top = np.full(len(self.key) + 1, -1)  # number of a head token among the TOP
+        self.top[top] = np.arange(len(top))
 
-        for _, chunk in tx.chunks(batches, "text"):
-            key, n = np.unique(Sequence(chunk).key, return_counts=True)
-            held.append((key, n.astype(np.int64)))
-            if sum(len(k) for k, _ in held[1:]) > 2_000_000:
-                merged()
-                if len(held[0][0]) > 4_000_000:
-                    yield from out()
-        if held:
-            merged()
-            yield from out()
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each token in the head, or -1."""
+        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+        return np.where(self.key[at] == key, at, -1) if len(self.key) else np.full(len(key), -1)
+
+    def logs(self, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 P(token | bucket), on the grid on which the shards are sent it."""
+        other = self.other[(key & np.uint64(255)).astype(np.int64)]
+        exact = np.where(at >= 0, self.log[at], other) if len(self.key) else other
+        return np.rint(np.maximum(exact, -15.9) * GRID) / GRID
+
+
+class Pairs:
+    """The pairs of a chunk: known by number among the TOP words (first, second; -1: not), by key, and by group."""
+
+    def __init__(self, seq: Sequence, shares: Shares):
+        self.at = shares.find(seq.key)
+        self.log = shares.logs(seq.key, self.at)
+        self.second = shares.top[self.at]
+        start = np.zeros(len(seq.key), bool)
+        start[seq.first[:-1]] = True
+        self.first = np.where(start, TOP, np.concatenate([[-1], self.second[:-1]]))  # TOP: a text's beginning
+        self.bucket = (seq.key & np.uint64(255)).astype(np.int64)
+        known = self.first >= 0
+        self.both = known & (self.second >= 0)
+        group = tx.mix64(seq.one ^ tx.mix64(self.bucket + 7)) >> np.uint64(20)
+        # pairs whose first word is a top one are dealt one by one, since their groups are in the table
+        group = np.where(known, tx.mix64(group ^ tx.mix64(seq.key)) >> np.uint64(20), group)
+        self.pair = group << np.uint64(20) | tx.mix64(seq.key) >> np.uint64(44)
+        self.known = known
 
-    return sp.arrow_map(docs.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
+BUCKET_CELLS = (TOP + 1) * CLASSES * BUCKETS
+CELLS = (TOP + 1) * TOP + BUCKET_CELLS
+ASKED = "shard int, docs binary, training binary, keys binary, at binary, times binary, known binary, logs binary"
+TOLD = "row long, value double"
+CELL_BLOCK = 1 << 16
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, places_log double, class_log double, rare array<long>, times array<int>"
+
+def row_key(doc_id: np.ndarray, chunk: tx.Chunk) -> np.ndarray:
+    """A key of each row by its id and text; rows that are alike share it."""
+    return (tx.mix64(tx.hashes(chunk.buf, chunk.off[:-1], chunk.off[1:]) ^ tx.mix64(doc_id.view(np.uint64))) >> np.uint64(1)).view(np.int64)
+
+
+def ids_of(rows: pa.RecordBatch) -> np.ndarray:
+    return rows.column(0).fill_null(-(1 << 62) - 1).to_numpy(zero_copy_only=False)
+
+
+def asked(named: DataFrame, held, shards: int) -> DataFrame:
+    """Of each chunk and shard: its texts' distinct pairs and how often they are in each text; and of all training texts the cells of the TOP words."""
+
+    def run(batches):
+        shares = held.value
+        cells = np.zeros(CELLS, np.int64)
+        planes = counts.pack_counts
+        for rows, chunk in tx.chunks(batches, "text"):
+            seq = Sequence(chunk)
+            pairs = Pairs(seq, shares)
+            doc = np.repeat(np.arange(chunk.n), np.diff(seq.first))
+            training = ~np.asarray(rows.column(2))
+            mine = training[doc]
+            at = np.flatnonzero(mine & pairs.known)
+            np.add.at(cells, (TOP + 1) * TOP + pairs.first[at] * CLASSES * BUCKETS + pairs.bucket[at], 1)
+            at = np.flatnonzero(mine & pairs.both)
+            np.add.at(cells, pairs.first[at] * TOP + pairs.second[at], 1)
+            at = np.flatnonzero(~pairs.both)
+            key, of = pairs.pair[at], doc[at]
+            order = np.lexsort((of, key))
+            at, key, of = at[order], key[order], of[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+            begin = np.flatnonzero(new)
+            times = np.diff(np.append(begin, len(key)))
+            at, key, of = at[begin], key[begin], of[begin]
+            shard = (tx.mix64(key >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            cut = np.searchsorted(shard[order], np.arange(shards + 1))
+            ids = row_key(ids_of(rows), chunk)
+            for k in np.flatnonzero(np.diff(cut)):
+                x = order[cut[k] : cut[k + 1]]
+                docs, local = np.unique(of[x], return_inverse=True)
+                yield sp.batch(ASKED, [k], [ids[docs].tobytes()], [training[docs].tobytes()], [counts.pack(key[x])], [planes(local)], [planes(times[x])], [np.packbits(pairs.known[at[x]]).tobytes()], [np.rint(-pairs.log[at[x]] * GRID).astype(np.uint16).tobytes()])
+        for b in range(0, CELLS, CELL_BLOCK):
+            at = np.flatnonzero(cells[b : b + CELL_BLOCK])
+            if len(at):
+                yield sp.batch(ASKED, [-1 - b // CELL_BLOCK], [b""], [b""], [counts.pack((at + b).astype(np.uint64))], [b""], [planes(cells[at + b])], [b""], [b""])
+
+    return sp.arrow_map(named.select("doc_id", "text", "held_out"), run, ASKED)
+
+
+def told(requests: DataFrame) -> DataFrame:
+    """Of each text and shard the sum of what its pairs add to log10 P(token | bucket); as rows below 0 the cells' counts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        get = lambda name: [x.as_py() for x in rows[name]]
+        keys = [counts.unpack(x) for x in get("keys")]
+        key, times = np.concatenate(keys), np.concatenate([counts.unpack_counts(x) for x in get("times")])
+        if rows["shard"][0].as_py() < 0:
+            cell, n = counts.summed(key, times)
+            return pa.Table.from_batches([sp.batch(TOLD, -1 - cell.astype(np.int64), n.astype(float))])
+        ids = [np.frombuffer(x, np.int64) for x in get("docs")]
+        base = np.cumsum([0, *map(len, ids)])
+        at = np.concatenate([counts.unpack_counts(x) + b for x, b in zip(get("at"), base)])
+        ids, training = np.concatenate(ids), np.frombuffer(b"".join(get("training")), bool)
+        known = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(get("known"), keys)])
+        log = np.frombuffer(b"".join(get("logs")), np.uint16) / -GRID
+        order = np.argsort(key, kind="stable")
+        key, times, at, known, log = key[order], times[order], at[order], known[order], log[order]
+        own = np.where(training[at], times, 0)
+
+        def others(code: np.ndarray) -> np.ndarray:
+            """Of each entry, the training counts of its code less those of its own text."""
+            total = np.bincount(code, own)[code]
+            _, same = np.unique(code * len(ids) + at, return_inverse=True)
+            return total - np.bincount(same, own)[same]
+
+        pair = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        group = key >> np.uint64(20)
+        group = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
+        n = others(pair)
+        room = np.where(known, 0.0, np.log10(1 + others(group) / PRIOR))
+        value = np.bincount(at, times * (np.log10(1 + n / PRIOR * 10.0**-log) - room), len(ids))
+        sp.give_back()
+        return pa.Table.from_batches([sp.batch(TOLD, ids, value)])
+
+    return requests.groupBy("shard").applyInArrow(run, sp.schema_of(TOLD))
+
+
+def in_table(cells: np.ndarray, pairs: Pairs, doc: np.ndarray, training: np.ndarray) -> np.ndarray:
+    """What the cells add to each token's log10 P(token | bucket); a training text's own counts are left out."""
+
+    def others(at: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        n = cells[cell]
+        _, same, times = np.unique(doc[at] * CELLS + cell, return_inverse=True, return_counts=True)
+        return n - np.where(training[doc[at]], times[same], 0)
+
+    out = np.zeros(len(doc))
+    at = np.flatnonzero(pairs.both)
+    out[at] = np.log10(1 + others(at, pairs.first[at] * TOP + pairs.second[at]) / PRIOR * 10.0 ** -pairs.log[at])
+    at = np.flatnonzero(pairs.known)
+    out[at] -= np.log10(1 + others(at, (TOP + 1) * TOP + pairs.first[at] * CLASSES * BUCKETS + pairs.bucket[at]) / PRIOR)
+    return out
+
+
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, model_log double, rare array<long>, times array<int>"
 
 
 def held_out(doc_id: Column, parts: int = 5, part: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", is_held_out=held_out, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", is_held_out=held_out, rounds: int = 1, tokens_a_shard: int = 2_000_000) -> DataFrame:
     """Learns from the documents that aren't held out and scores all: log10 probabilities of whole texts."""
     spark = docs.sparkSession
     named = sp.id_and_text(docs, id_col, text_col).withColumn("held_out", is_held_out(F.col("doc_id")))
@@ -236,9 +387,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", is_he
     vocabulary = sp.written(count_tokens(training), "vocabulary")
     places = vocabulary.groupBy(F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # one row a bucket
     tokens, types = sum(r.n for r in places), sum(r.v for r in places)
-    room = np.full(CLASSES * BUCKETS, np.log10(0.5))
+    bucket_n, bucket_types = np.zeros(CLASSES * BUCKETS), np.zeros(CLASSES * BUCKETS)
     for r in places:
-        room[r.bucket] = np.log10(r.n + 0.5 * (r.v + 1))
+        bucket_n[r.bucket], bucket_types[r.bucket] = r.n, r.v
     # the least count of at most HEAD tokens, by a histogram of fixed size
     step = F.floor(F.log2("n") * 8).cast("int")
     sizes = vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("v"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
@@ -248,31 +399,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", is_he
             break
         bound = r.least
     head = vocabulary.filter(F.col("n") >= bound).toArrow() if bound is not None else vocabulary.limit(0).toArrow()
-    head_key, head_n = head["key"].to_numpy().view(np.uint64), head["n"].to_numpy()
-    order = np.argsort(head_key)
-    head_key, head_log = head_key[order], np.log10(head_n[order] + 0.5)
+    shares = Shares(head["key"].to_numpy().view(np.uint64), head["n"].to_numpy(), bucket_n, bucket_types)
+    held_shares = spark.sparkContext.broadcast(shares)  # at most HEAD tokens
+    answers = sp.written(told(asked(named, held_shares, max(16, (tokens or 0) // tokens_a_shard))), "pairs")
+    cells = np.zeros(CELLS, np.int64)
+    found = answers.filter("row < 0").toArrow()  # at most CELLS rows
+    cells[-1 - found["row"].to_numpy()] = found["value"].to_numpy().astype(np.int64)
     weights = [np.zeros((ROWS_1, CLASSES), np.float32), np.zeros((ROWS_2, BUCKETS), np.float32)]
     for _ in range(rounds):
         weights = train_round(training, weights)
-    held = spark.sparkContext.broadcast((head_key, head_log, weights, room))  # HEAD tokens and the weights: a fixed size
+    held = spark.sparkContext.broadcast((weights, cells))  # a fixed size
 
     def run(batches):
-        head_key, head_log, (first_w, second_w), room = held.value
-        row = TaskContext.get().partitionId() << 33
+        shares, ((first_w, second_w), cells) = held_shares.value, held.value
         for rows, chunk in tx.chunks(batches, "text"):
             seq = Sequence(chunk)
             first, second, group, bucket = seq.inputs()
-            logp = np.empty(len(group))
+            pairs = Pairs(seq, shares)
+            of = np.repeat(np.arange(chunk.n), np.diff(seq.first))
+            logp = pairs.log + in_table(cells, pairs, of, ~np.asarray(rows.column(2)))
             for k in range(0, len(group), BATCH):
                 n = np.arange(len(group[k : k + BATCH]))
                 a = softmax(first_w, first[:, k : k + BATCH])[n, group[k : k + BATCH]]
                 b = softmax(second_w, second[:, k : k + BATCH])[n, bucket[k : k + BATCH]]
-                logp[k : k + BATCH] = np.log10(np.maximum(a, 1e-30)) + np.log10(np.maximum(b, 1e-30))
-            code, values = tx.pd.factorize(seq.key)
-            at = np.minimum(np.searchsorted(head_key, values), max(len(head_key) - 1, 0))
-            in_head = head_key[at] == values if len(head_key) else np.zeros(len(values), bool)
-            log = np.where(in_head, head_log[at], 0.0) if len(head_key) else np.zeros(len(values))
-            known = in_head[code]
+                logp[k : k + BATCH] += np.log10(np.maximum(a, 1e-30)) + np.log10(np.maximum(b, 1e-30))
+            known = pairs.at >= 0
+            log = np.where(known, np.log10(shares.n[pairs.at] + 0.5), 0.0) if len(shares.n) else np.zeros(len(known))
             begin = seq.first[:-1]
             rare_first = np.concatenate([[0], np.cumsum(~known)])[seq.first]
             rare = seq.key[~known]
@@ -286,23 +438,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", is_he
             times = np.diff(np.append(start, len(rare)))
             off = pa.array(np.searchsorted(doc[start], np.arange(chunk.n + 1)), pa.int32())
             yield sp.batch(
-                SCORED, row + np.arange(chunk.n), rows.column(0), rows.column(2), np.diff(seq.first), np.add.reduceat(known.astype(np.int64), begin), np.add.reduceat(log[code], begin),
-                np.add.reduceat(room[(seq.key & np.uint64(255)).astype(np.int64)], begin), np.add.reduceat(logp, begin),
+                SCORED, row_key(ids_of(rows), chunk), rows.column(0), rows.column(2), np.diff(seq.first), np.add.reduceat(known.astype(np.int64), begin), np.add.reduceat(log, begin), np.add.reduceat(logp, begin),
                 pa.ListArray.from_arrays(off, pa.array(rare[start].view(np.int64))), pa.ListArray.from_arrays(off, pa.array(times, pa.int32())),
             )
-            row += chunk.n
 
     scored = sp.written(sp.arrow_map(named, run, SCORED), "scored")
     pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     counted = pairs.join(vocabulary, "key", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
     tail = counted.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("tail_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
-    known = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0))
-    return scored.drop("rare", "times").join(tail, "row", "left").select(
+    # rows that are alike share a key, so each of these sums counts all of them
+    alike = scored.groupBy("row").agg(F.count("*").alias("alike"))
+    added = answers.filter("row >= 0").groupBy("row").agg(F.sum("value").alias("pairs_log"))
+    of_one = lambda c: F.coalesce(F.col(c) / F.col("alike"), F.lit(0.0))
+    known = F.col("head_log") + of_one("tail_log")
+    return scored.drop("rare", "times").join(alike, "row").join(tail, "row", "left").join(added, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("head_known") + F.round(of_one("tail_known"))).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (known - F.col("n_tokens") * float(np.log10(tokens + 0.5 * (types + 1)))).alias("base_score"),
-        (known - F.col("places_log") + F.col("class_log")).alias("score"),
+        (F.col("model_log") + of_one("pairs_log")).alias("score"),
     )
