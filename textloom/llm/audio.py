@@ -10,8 +10,11 @@ Resampling from ``rate`` to ``rate * up / down`` filters with one phase of a
 windowed sinc for each output place.  Frames of ``FRAME`` samples overlap by
 ``FRAME - HOP``.  Segments open where a frame's level rises above the upper
 threshold and close where it falls below the lower one (hysteresis); they carry time
-spans in seconds.  Log-mel features are stored as fixed-shape Arrow tensors of
-``TENSOR_FRAMES`` x ``MELS``, with the span of each.
+spans in seconds.  Log-mel features (of a sixteenth, in bytes) are stored as fixed-shape
+Arrow tensors of ``TENSOR_FRAMES`` x ``MELS``, with the span of each.
+
+``features`` makes a table of media files, tensors and segments, one row a document;
+the query writes it to the shared folder and derives its digests from what it reads back.
 
 Defined cases: a null or empty text is 64 bytes of zero; a text whose length is a
 multiple of 64 isn't padded unless it is empty; repeated rows get equal values; an
@@ -32,12 +35,13 @@ from pyspark.sql import DataFrame
 from . import spark as sp
 from . import text as tx
 
-RATE, UP, DOWN = 16_000, 1, 2
-FRAME, HOP, FFT, MELS = 200, 80, 256, 40  # at the resampled rate: 25 and 10 ms
+RATE, UP, DOWN = 16_000, 2, 3
+FRAME, HOP, FFT, MELS = 200, 80, 256, 40  # at the resampled rate: 18.75 and 7.5 ms
 TENSOR_FRAMES = 100
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long"
-TENSOR = pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, MELS), dim_names=("frame", "mel"))
+TENSOR = pa.fixed_shape_tensor(pa.uint8(), (TENSOR_FRAMES, MELS), dim_names=("frame", "mel"))
+FEATURES = "doc_id long, n_bytes long, media binary, start_s array<double>, end_s array<double>, frames array<int>, log_mel array<binary>, segment_start_s array<double>, segment_end_s array<double>"
 
 
 def to_wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -76,14 +80,12 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
     n = len(x) * up // down
     out = np.zeros(n, np.float32)
     for phase in range(up):
-        place = (np.arange(phase, n, up) * down) // up
-        if not len(place):
-            continue
-        step = down if up == 1 else None
-        total = np.zeros(len(place), np.float32)
+        m = len(range(phase, n, up))
+        at = phase * down // up + 1  # of the phase's outputs each is `down` inputs further
+        total = np.zeros(m, np.float32)
         for k, weight in enumerate(bank[phase].astype(np.float32)):
-            if weight:
-                total += weight * (padded[k + 1 : k + 1 + step * len(place) : step] if step else padded[place + k + 1])
+            if weight and m:
+                total += weight * padded[at + k : at + k + down * m : down][:m]
         out[phase::up] = total
     return out
 
@@ -152,57 +154,67 @@ def payload(text: bytes) -> bytes:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tensors of audio features with time spans: doc_id, start_s, end_s, frames, log_mel (TENSOR_FRAMES x MELS, zero-padded), segments.
+    """Per document its media file, tensors of audio features with time spans, and segments.
 
-    The tensors' column holds the storage of a fixed-shape tensor; :func:`as_tensors` wraps it.
+    ``log_mel`` holds the storage of fixed-shape tensors, padded with zeros; :func:`as_tensors` wraps it.
     """
-    schema = "doc_id long, start_s double, end_s double, frames int, log_mel array<float>, segment_start_s array<double>, segment_end_s array<double>"
 
     def run(batches):
         hop = HOP * DOWN / UP / RATE
         for rows, chunk in tx.chunks(batches, "text", 1 << 18):
-            mel, level, first = log_mel([np.frombuffer(payload(chunk.doc(i)), np.uint8) for i in range(chunk.n)])
+            media = [to_wav(payload(chunk.doc(i))) for i in range(chunk.n)]
+            mel, level, first = log_mel([np.frombuffer(from_wav(m)[0], np.uint8) for m in media])
+            coded = np.rint(mel * 16).clip(0, 255).astype(np.uint8)
+            count = np.diff(first)
+            tensors = -(-count // TENSOR_FRAMES)
+            off = np.concatenate([[0], np.cumsum(tensors)])
+            doc = np.repeat(np.arange(chunk.n), tensors)
+            nth = np.arange(off[-1]) - off[doc]
+            frames = np.minimum(count[doc] - nth * TENSOR_FRAMES, TENSOR_FRAMES)
+            whole = np.zeros((int(off[-1]) * TENSOR_FRAMES, MELS), np.uint8)
+            whole[tx.expand(off[:-1] * TENSOR_FRAMES, count)] = coded
+            size = TENSOR_FRAMES * MELS
+            stored = pa.Array.from_buffers(pa.binary(), int(off[-1]), [None, pa.py_buffer((np.arange(off[-1] + 1) * size).astype(np.int32)), pa.py_buffer(whole)])
             begin, end, clip = segments(level, first)
-            ids = rows.column(0).to_pylist()
-            out = []
-            for i in range(chunk.n):
-                own = clip == i
-                for k in range(first[i], first[i + 1], TENSOR_FRAMES):
-                    to = min(k + TENSOR_FRAMES, first[i + 1])
-                    t = np.zeros((TENSOR_FRAMES, MELS), np.float32)
-                    t[: to - k] = mel[k:to]
-                    inside = own & (begin < to) & (end > k)
-                    out.append((ids[i], (k - first[i]) * hop, (to - first[i]) * hop, to - k, t.reshape(-1), (begin[inside] - first[i]) * hop, (end[inside] - first[i]) * hop))
-            yield sp.batch(schema, *(list(c) for c in zip(*out)))
+            parts = pa.array(np.searchsorted(clip, np.arange(chunk.n + 1)), pa.int32())
+            of = lambda off, x: pa.ListArray.from_arrays(off, x if isinstance(x, pa.Array) else pa.array(x))
+            off = pa.array(off, pa.int32())
+            yield sp.batch(
+                FEATURES, rows.column(0), np.diff(chunk.off), media, of(off, nth * TENSOR_FRAMES * hop), of(off, (nth * TENSOR_FRAMES + frames) * hop), of(off, frames.astype(np.int32)), of(off, stored),
+                of(parts, (begin - first[clip]) * hop), of(parts, (end - first[clip]) * hop),
+            )
 
-    return sp.arrow_map(sp.id_and_text(docs, id_col, text_col), run, schema)
+    return sp.arrow_map(sp.id_and_text(docs, id_col, text_col), run, FEATURES)
 
 
-def as_tensors(table: pa.Table) -> pa.Table:
-    """The table with its log_mel column as fixed-shape tensors."""
-    at = table.schema.get_field_index("log_mel")
-    flat = table["log_mel"].combine_chunks()
-    storage = pa.FixedSizeListArray.from_arrays(flat.flatten(), TENSOR_FRAMES * MELS)
-    return table.set_column(at, "log_mel", pa.ExtensionArray.from_storage(TENSOR, storage))
+def as_tensors(log_mel: pa.Array) -> pa.Array:
+    """The stored tensors of one or more documents as an array of fixed-shape tensors."""
+    flat = np.frombuffer(b"".join(x.as_py() for x in log_mel), np.uint8)
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(flat), TENSOR_FRAMES * MELS))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: digests of its media file, of the samples read back from it, and its features."""
+def digests_of(table: DataFrame) -> DataFrame:
+    """Per row of a table of :func:`features`: digests of its media file, of the samples in it, and of its tensors."""
 
     def run(batches):
-        for rows, chunk in tx.chunks(batches, "text", 1 << 18):
-            media = [to_wav(payload(chunk.doc(i))) for i in range(chunk.n)]
-            back = [from_wav(m)[0] for m in media]
-            mel, level, first = log_mel([np.frombuffer(b, np.uint8) for b in back])
-            coded = np.rint(mel * 20).astype(np.uint8)
-            begin, _, clip = segments(level, first)
-            n_seg = np.bincount(clip, minlength=chunk.n)
-            mean = np.add.reduceat(coded.astype(np.int64), first[:-1], axis=0) // np.diff(first)[:, None]
-            raw, at = coded.tobytes(), (first * MELS).tolist()
-            feature = [f"{hashlib.blake2b(raw[a:b], digest_size=8).hexdigest()}:{n}:{bytes(m).hex()}" for a, b, n, m in zip(at, at[1:], n_seg.tolist(), mean.astype(np.uint8))]
-            yield sp.batch(
-                DIGESTS, rows.column(0), np.diff(chunk.off), [len(b) for b in back], [hashlib.sha256(b).hexdigest() for b in back], [zlib.crc32(b[-64:]) for b in back],
-                [len(m) for m in media], [hashlib.sha256(m).hexdigest() for m in media], feature, np.diff(first), n_seg,
-            )
+        for batch in batches:
+            media, frames, n_seg = (batch.column(k) for k in (2, 5, 7))
+            out = []
+            for i in range(batch.num_rows):
+                file = media[i].as_py()
+                back, _ = from_wav(file)
+                tensors = as_tensors(batch.column(6)[i].values).to_numpy_ndarray()
+                used = np.concatenate([t[:n] for t, n in zip(tensors, frames[i].values.to_pylist())])
+                segments_of = len(n_seg[i].values)
+                mean = used.sum(0, dtype=np.int64) // len(used)
+                feature = f"{hashlib.blake2b(used.tobytes(), digest_size=8).hexdigest()}:{segments_of}:{mean.astype(np.uint8).tobytes().hex()}"
+                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature, len(used), segments_of))
+            if out:
+                yield sp.batch(DIGESTS, batch.column(0), batch.column(1), *(list(c) for c in zip(*out)))
 
-    return sp.arrow_map(sp.id_and_text(docs, id_col, text_col), run, DIGESTS)
+    return sp.arrow_map(table, run, DIGESTS)
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes media files and tensors to the shared folder and gives the digests of what is read back."""
+    return digests_of(sp.written(features(docs, id_col, text_col), "media", "zstd"))

@@ -43,11 +43,11 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/textloom/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
     """The frame, written to the shared folder and read again: it is computed once and its lineage ends there."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
