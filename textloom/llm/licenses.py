@@ -4,7 +4,9 @@ Texts are normalised (lower case, runs of other characters than letters and digi
 become one space) and cut into units: lines, and paragraphs of several lines.  Two
 sets of bigrams of sizes a and b have a Dice coefficient of at most
 ``2 min(a, b) / (a + b)``, so a unit is compared only with templates whose size
-admits the threshold, and most units with none.
+admits the threshold.  Most texts are compared with none: to reach the threshold, a
+text must share so many of a template's bigrams that it has one of the words that
+:func:`anchors` picks from it.
 
 A notice beside other words, or one that runs over paragraphs, is found by windows
 over the whole text without its line breaks: where the first ``OPENING`` words of
@@ -23,6 +25,7 @@ each; an empty table gives an empty one; other columns don't matter.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +88,26 @@ def bounds(sizes: list[int], threshold: int) -> tuple[int, int]:
     return min(-(-n * threshold // (200 - threshold)) for n in sizes), max(n * (200 - threshold) // threshold for n in sizes)
 
 
+def anchors(known: list[list[str]], threshold: int) -> list[str]:
+    """Words such that a text without any of them can't share enough bigrams with any template.
+
+    Words of many templates go first, then long ones, which are rare. For short words, which aren't, their bigrams.
+    """
+    of = [[set(g.split()) for g in grams] for grams in known]
+    common = Counter(w for grams in of for w in set().union(*grams))
+    out: dict[str, None] = {}
+    for grams in of:
+        may_miss = len(grams) - -(-len(grams) * threshold // (200 - threshold))
+        left = [g for g in grams if not any(p in w for p in out for w in g)]
+        for word in sorted(set().union(*grams), key=lambda w: (len(w) < 5, -common[w], -len(w), w)):
+            if len(grams) - len(left) > may_miss:
+                break
+            if hit := [g for g in left if word in g]:
+                out |= dict.fromkeys([word] if len(word) > 4 else [" ".join(b) for b in (x.split() for x in known[of.index(grams)]) if word in b])
+                left = [g for g in left if g not in hit]
+    return sorted(p for p in out if not any(q in p for q in out if q != p))
+
+
 def _let(value: Column, body) -> Column:
     """The body with the value bound to a name, so that it is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -130,8 +153,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     for o in openings:  # most texts have none of them
         some = some | F.contains("flat", F.lit(o))
     windows = F.when(some, _let(F.split("flat", " "), of_windows))
+    anchored = F.lit(False)
+    for w in anchors([b for _, _, b, _, _ in known], threshold):
+        anchored = anchored | F.contains("flat", F.lit(w))
     found = F.flatten(F.transform(sized, of_unit))
-    ranked = F.array_sort(F.when(some, F.concat(found, windows)).otherwise(found))
+    nothing = F.filter(F.array(F.struct(F.lit(0.0).alias("minus"), F.lit("").alias("name"), F.lit("").alias("license"))), lambda x: x["minus"] < 0)
+    ranked = F.array_sort(F.when(anchored & some, F.concat(found, windows)).when(anchored, found).otherwise(nothing))
     plains = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), plain.alias("plain"))
     out = plains.select("doc_id", units.alias("units"), flat.alias("flat")).select("doc_id", F.size("units").alias("n_units"), ranked.alias("ranked"))
     best = F.get("ranked", F.lit(0))
