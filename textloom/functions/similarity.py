@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
-    longest = F.greatest(F.length(a), F.length(b))
+    """1 of two empty strings; null where either is null."""
+    longest = F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.length(a), F.length(b)))
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
@@ -41,11 +42,13 @@ def char_cosine(a: Column, b: Column) -> Column:
 
 
 def char_dice(a: Column, b: Column) -> Column:
-    return 2 * _dot(a, b) / (_dot(a, a) + _dot(b, b))
+    """0 of two empty strings."""
+    return F.coalesce(F.try_divide(2 * _dot(a, b), _dot(a, a) + _dot(b, b)), F.when(a.isNotNull() & b.isNotNull(), 0.0))
 
 
 def char_jaccard(a: Column, b: Column) -> Column:
-    return _dot(a, b) / (_dot(a, a) + _dot(b, b) - _dot(a, b))
+    """0 of two empty strings."""
+    return F.coalesce(F.try_divide(_dot(a, b), _dot(a, a) + _dot(b, b) - _dot(a, b)), F.when(a.isNotNull() & b.isNotNull(), 0.0))
 
 
 def char_euclidean(a: Column, b: Column) -> Column:
@@ -53,8 +56,8 @@ def char_euclidean(a: Column, b: Column) -> Column:
 
 
 def set_jaccard(a: Column, b: Column) -> Column:
-    """Of arrays of tokens."""
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    """Of arrays of tokens; 0 of two empty ones."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.when(a.isNotNull() & b.isNotNull(), 0.0))
 
 
 def jaro(s: str, t: str) -> float:
@@ -76,7 +79,7 @@ def jaro(s: str, t: str) -> float:
     a, b = common(s, t), common(t, s)
     if not a or len(a) != len(b):
         return 0.0
-    moved = sum(x != y for x, y in zip(a, b)) / 2
+    moved = sum(x != y for x, y in zip(a, b)) // 2  # whole transpositions
     return (len(a) / len(s) + len(a) / len(t) + (len(a) - moved) / len(a)) / 3
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BREAK = "</s>"
@@ -140,8 +140,9 @@ def unwrap(text: Column) -> Column:
 
 def between(text: Column, left: str, right: str) -> Column:
     """What stands between the first ``left`` and the next ``right``; null if there is no such place."""
-    after = F.substring_index(text, left, -1)
-    return F.when(F.contains(text, F.lit(left)) & F.contains(after, F.lit(right)), F.substring_index(after, right, 1))
+    at = F.instr(text, left)
+    after = F.substr(text, at + F.lit(len(left)))
+    return F.when((at > 0) & F.contains(after, F.lit(right)), F.substring_index(after, right, 1))
 
 
 def number_filter(term: Column) -> Column:
@@ -173,3 +174,59 @@ def token_features(term: Column) -> Column:
         F.lower(term).alias("word"), F.substr(term, F.greatest(F.length(term) - 2, F.lit(1))).alias("suffix"), F.left(term, F.lit(3)).alias("prefix"),
         term.rlike(r"^\p{Punct}+$").alias("punct"), term.rlike(r"^\p{Lu}").alias("caps"), shape(term).alias("shape"), short_shape(term).alias("short_shape"), vowel_shape(term).alias("vowels"),
     )
+
+
+def of_length(term: Column, least: int, most: int) -> Column:
+    return F.length(term).between(least, most)
+
+
+def is_number(term: Column) -> Column:
+    return term.rlike(r"^[0-9]+([.,][0-9]+)*$")
+
+
+def is_punctuation(term: Column) -> Column:
+    """No letter and no digit."""
+    return ~term.rlike(r"[\p{L}\p{N}]")
+
+
+def analyzed(tokens: DataFrame, stopwords: list[str], least: int = 2, most: int = 20) -> DataFrame:
+    """Tokens (with a column ``term``) after length, punctuation and stopword filters, with numbers marked by their length."""
+    x = F.col("term")
+    kept = tokens.filter(of_length(x, least, most) & ~is_punctuation(x) & ~x.isin(stopwords))
+    return kept.withColumn("term", F.when(is_number(x), F.concat(F.lit("<nu"), F.length(x).cast("string"), F.lit(">"))).otherwise(x))
+
+
+def _char(code: Column) -> Column:
+    """The character of a code below 65,536."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+
+
+def _code(char: Column) -> Column:
+    return F.conv(F.hex(F.encode(char, "UTF-16BE")), 16, 10).cast("long")
+
+
+#: Fixed values of the Unicode standard: first syllable, leading consonant, vowel and one before the first trailing consonant; vowels times trailing places, and those.
+_SYLLABLE, _LEAD, _VOWEL, _TRAIL, _BY_LEAD, _BY_VOWEL = 0xAC00, 0x1100, 0x1161, 0x11A7, 588, 28
+
+
+def hangul_decomposed(text: Column) -> Column:
+    """Syllables as their jamo, other characters as they are."""
+
+    def parts(c: Column) -> Column:
+        k = _code(c) - _SYLLABLE
+        jamo = F.concat(_char(F.floor(k / _BY_LEAD) + _LEAD), _char(F.floor(F.pmod(k, F.lit(_BY_LEAD)) / _BY_VOWEL) + _VOWEL), F.when(F.pmod(k, F.lit(_BY_VOWEL)) > 0, _char(F.pmod(k, F.lit(_BY_VOWEL)) + _TRAIL)).otherwise(""))
+        return F.when(c.rlike("[가-힣]"), jamo).otherwise(c)
+
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), parts), "")
+
+
+def hangul_composed(text: Column) -> Column:
+    """Jamo of whole syllables as these, other characters as they are."""
+    units = F.regexp_extract_all(text, F.lit("([ᄀ-ᄒ][ᅡ-ᅵ][ᆨ-ᇂ]?|(?s:.))"), F.lit(1))
+
+    def one(u: Column) -> Column:
+        lead, vowel = _code(F.substr(u, F.lit(1), F.lit(1))) - _LEAD, _code(F.substr(u, F.lit(2), F.lit(1))) - _VOWEL
+        trail = F.when(F.length(u) > 2, _code(F.substr(u, F.lit(3), F.lit(1))) - _TRAIL).otherwise(0)
+        return F.when(u.rlike("^[ᄀ-ᄒ][ᅡ-ᅵ]"), _char(F.lit(_SYLLABLE) + lead * _BY_LEAD + vowel * _BY_VOWEL + trail)).otherwise(u)
+
+    return F.array_join(F.transform(units, one), "")

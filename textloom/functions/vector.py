@@ -18,6 +18,11 @@ def norm1(v: Column) -> Column:
     return total(F.transform(v, lambda x: F.abs(x.cast("double"))))
 
 
+def _with(value: Column, body) -> Column:
+    """The body with the value bound to a name, so that it is computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def norm2(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
@@ -40,18 +45,19 @@ def product(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    n = norm2(v)
-    return F.transform(v, lambda x: x.cast("double") / n)
+    """The zero vector stays what it is."""
+    return _with(norm2(v), lambda n: F.transform(v, lambda x: F.when(n > 0, F.try_divide(x.cast("double"), n)).otherwise(0.0)))
 
 
 def softmax(v: Column) -> Column:
-    e = F.transform(v, lambda x: F.exp(x.cast("double") - F.array_max(v).cast("double")))
-    return F.transform(e, lambda x: x / total(e))
+    e = _with(F.array_max(v).cast("double"), lambda top: F.transform(v, lambda x: F.exp(x.cast("double") - top)))
+    return _with(e, lambda e: _with(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def probabilities(v: Column) -> Column:
+    """Shares of the sum; zeros where that is zero."""
     s = total(F.transform(v, lambda x: x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / s)
+    return _with(s, lambda s: F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), s), F.lit(0.0))))
 
 
 def entropy(v: Column) -> Column:

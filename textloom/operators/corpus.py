@@ -6,6 +6,8 @@ never gathered by term, since the list of a frequent term would be one huge row.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +69,14 @@ def with_ids(vocab: DataFrame, *order: Column) -> DataFrame:
     """
     spark = vocab.sparkSession
     keys = [*order, F.col("term").asc()]
-    dealt = vocab.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id())
+    # a stated number of partitions isn't coalesced, and both passes read the same rows: those written once, if there is a folder for them
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = vocab.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id())
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        path = f"{folder.rstrip('/')}/textloom/ids-{uuid.uuid4().hex}"
+        dealt.write.parquet(path)
+        dealt = spark.read.schema(dealt.schema).parquet(path)
     part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)
     sizes = sorted((r["p"], r["n"]) for r in dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row a partition
     offsets, total = [], 0

@@ -18,7 +18,8 @@ def evaluate(run: DataFrame, qrels: DataFrame, n: int = 10, p: float = 0.8, cut:
     """Per query: retrieved, relevant, rel_ret, P, R, F1, AP, nDCG, RR, RBP and bpref.
 
     P divides by n even where fewer are retrieved; the ideal of nDCG are the retrieved gains in order; bpref divides
-    by the number of judged documents that aren't relevant.
+    by the number of judged documents that aren't relevant. A query of the run without a relevant document has R and AP
+    0; a judged query that retrieves nothing has a row of zeros.
     """
     j = judged(run, qrels).filter(F.col("rank") <= cut)
     totals = qrels.groupBy("qid").agg(F.count_if(F.col("rel") > 0).alias("relevant"), F.count_if(F.col("rel") <= 0).alias("nonrelevant"))
@@ -35,8 +36,8 @@ def evaluate(run: DataFrame, qrels: DataFrame, n: int = 10, p: float = 0.8, cut:
         F.first("relevant").alias("relevant"),
         F.sum(hit).alias("rel_ret"),
         (F.sum(F.when(inside, hit).otherwise(0)) / n).alias("p_n"),
-        (F.sum(F.when(inside, hit).otherwise(0)) / F.first("relevant")).alias("r_n"),
-        (F.sum(hit * F.col("hits") / F.col("rank")) / F.first("relevant")).alias("ap"),
+        (F.sum(F.when(inside, hit).otherwise(0)) / F.greatest(F.first("relevant"), F.lit(1))).alias("r_n"),
+        (F.sum(hit * F.col("hits") / F.col("rank")) / F.greatest(F.first("relevant"), F.lit(1))).alias("ap"),
         F.sum(F.when(inside, gain / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
         F.sum(F.when(F.col("best") <= n, gain / F.log2(F.col("best") + 1)).otherwise(0.0)).alias("ideal"),
         F.coalesce(1.0 / F.min(F.when(hit == 1, F.col("rank"))), F.lit(0.0)).alias("rr"),
@@ -45,7 +46,10 @@ def evaluate(run: DataFrame, qrels: DataFrame, n: int = 10, p: float = 0.8, cut:
     )
     f1 = F.when(F.col("p_n") + F.col("r_n") > 0, 2 * F.col("p_n") * F.col("r_n") / (F.col("p_n") + F.col("r_n"))).otherwise(0.0)
     ndcg = F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0)
-    return out.select("qid", "retrieved", "relevant", "rel_ret", "p_n", "r_n", f1.alias("f1"), "ap", ndcg.alias("ndcg"), "rr", "rbp", (F.col("pref") / F.greatest(F.col("relevant"), F.lit(1))).alias("bpref"))
+    done = out.select("qid", "retrieved", "relevant", "rel_ret", "p_n", "r_n", f1.alias("f1"), "ap", ndcg.alias("ndcg"), "rr", "rbp", (F.col("pref") / F.greatest(F.col("relevant"), F.lit(1))).alias("bpref"))
+    nothing = totals.join(done.select("qid"), "qid", "left_anti").select("qid", "relevant")
+    zeros = [F.col("qid") if c == "qid" else F.col(c) if c == "relevant" else F.lit(0).cast(kind).alias(c) for c, kind in done.dtypes]
+    return done.unionByName(nothing.select(*zeros))
 
 
 def summary(per_query: DataFrame) -> DataFrame:
@@ -59,8 +63,8 @@ def compare(base: DataFrame, other: DataFrame, metric: str = "ap", alpha: float
     d = base.select("qid", F.col(metric).alias("a")).join(other.select("qid", F.col(metric).alias("b")), "qid").withColumn("d", F.col("b") - F.col("a"))
     risk, reward = F.avg(F.greatest(F.lit(0.0), -F.col("d"))), F.avg(F.greatest(F.lit(0.0), F.col("d")))
     return d.agg(
-        F.count("*").alias("queries"), ((F.avg("b") - F.avg("a")) / F.avg("a")).alias("improvement"), (F.sum(F.signum("d")) / F.count("*")).alias("robustness"),
-        risk.alias("risk"), reward.alias("reward"), (reward - (1 + alpha) * risk).alias("tradeoff"), (F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("*")))).alias("t"),
+        F.count("*").alias("queries"), F.try_divide(F.avg("b") - F.avg("a"), F.avg("a")).alias("improvement"), F.try_divide(F.sum(F.signum("d")), F.count("*")).alias("robustness"),
+        risk.alias("risk"), reward.alias("reward"), (reward - (1 + alpha) * risk).alias("tradeoff"), F.try_divide(F.avg("d"), F.stddev_samp("d") / F.sqrt(F.count("*"))).alias("t"),
     )
 
 

@@ -139,7 +139,7 @@ def connected(links: DataFrame) -> DataFrame:
 def keyphrases(sentence_tokens: DataFrame, stopwords: list[str], top_k: int = 5, support: int = 3) -> DataFrame:
     """Frequent phrases that pass the rules, ranked in each document by frequency and idf."""
     phrases = frequent_phrases(sentence_tokens, support, 3).filter(good_phrase(F.col("phrase"), stopwords))
-    flat = sentence_tokens.select("doc_id", (F.col("sent_id") * 100000 + F.col("pos")).alias("pos"), "term")
+    flat = sentence_tokens.select("doc_id", (F.col("sent_id").cast("long") * F.lit(1 << 32) + F.col("pos")).alias("pos"), "term")
     found = map_phrases(flat, phrases, 3).groupBy("doc_id", "phrase").agg(F.count("*").alias("tf"))
     n = sentence_tokens.select("doc_id").distinct().agg(F.count("*").alias("total"))
     scored = found.join(phrases.select("phrase", "df"), "phrase").join(F.broadcast(n)).withColumn("score", F.col("tf") * F.log((F.col("total") + 1) / F.col("df")))

@@ -223,5 +223,5 @@ def span_f1(tags: DataFrame) -> DataFrame:
     gold, found = spans("gold"), spans("found")
     hit = gold.join(found, ["seq", "a", "b", "kind"]).agg(F.count("*").alias("hits"))
     rows = hit.join(gold.agg(F.count("*").alias("gold"))).join(found.agg(F.count("*").alias("found")))
-    p, r = F.col("hits") / F.col("found"), F.col("hits") / F.col("gold")
-    return rows.select("gold", "found", "hits", p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r)).alias("f1"))
+    p, r = (F.coalesce(F.try_divide("hits", F.col(c)), F.lit(0.0)) for c in ("found", "gold"))
+    return rows.select("gold", "found", "hits", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))

@@ -58,7 +58,7 @@ def search(strings: DataFrame, queries: DataFrame, q: int = 3, prefix_size: int
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= top_k).select("qid", "id", "rank", "weight", "score")
 
 
-def longest_prefix(keys: DataFrame, words: DataFrame, most: int = 64) -> DataFrame:
+def longest_prefix(keys: DataFrame, words: DataFrame) -> DataFrame:
     """The longest key that is a prefix of each word: equi-join on the word's prefixes."""
-    cut = words.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(most))), lambda n: F.left("word", n))).alias("key"))
+    cut = words.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.left("word", n))).alias("key"))
     return cut.join(keys.select("key").distinct(), "key").groupBy("word").agg(F.max_by("key", F.length("key")).alias("longest"))

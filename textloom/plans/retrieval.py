@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textloom.operators import corpus as c
 from textloom.operators import retrieval as r
 from textloom.plans.base import STATS, TERMS, TOPIC, query, r6, table, topics
+from textloom.sources import readers
 
 _TERMS = ", ".join(f"'{t}'" for t in TERMS)
 
@@ -165,9 +166,8 @@ def ir_label_knn(spark, d):
     return best.join(labels, "doc_id").groupBy("qid", "label").agg(r6(F.sum("score")).alias("score"))
 
 
-@query(f"{_M}, s AS ({_BM25}) SELECT CAST(qid AS VARCHAR) || ' Q0 ' || CAST(doc_id AS VARCHAR) || ' ' || CAST(rank AS VARCHAR) || ' loom' AS line FROM (SELECT *, {_TOP} FROM s) WHERE rank <= 20")
+@query(f"{_M}, s AS ({_BM25}) SELECT CAST(qid AS VARCHAR) || ' Q0 ' || CAST(doc_id AS VARCHAR) || ' ' || CAST(rank AS VARCHAR) || ' ' || printf('%.6f', score) || ' loom' AS line FROM (SELECT *, {_TOP} FROM s) WHERE rank <= 20")
 def ir_trec_run(spark, d):
-    best = r.top(r.bm25(index(spark, d), topics(spark)), 20)
-    return best.select(F.concat_ws(" ", F.col("qid").cast("string"), F.lit("Q0"), F.col("doc_id").cast("string"), F.col("rank").cast("string"), F.lit("loom")).alias("line"))
+    return readers.run_lines(r.bm25(index(spark, d), topics(spark)), "loom", 20).withColumnRenamed("value", "line")
 
 

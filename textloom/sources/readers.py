@@ -56,10 +56,10 @@ def run_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_lines(scored: DataFrame, name: str, k: int = 1000) -> DataFrame:
-    """Lines ``qid Q0 doc rank score name``."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    """Lines ``qid Q0 doc rank score name``; scores that agree to nine places are ties."""
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id")
     ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select(F.concat_ws(" ", F.col("qid").cast("string"), F.lit("Q0"), F.col("doc_id").cast("string"), F.col("rank").cast("string"), F.format_number("score", "0.000000"), F.lit(name)).alias("value"))
+    return ranked.select(F.concat_ws(" ", F.col("qid").cast("string"), F.lit("Q0"), F.col("doc_id").cast("string"), F.col("rank").cast("string"), F.format_string("%.6f", F.col("score").cast("double")), F.lit(name)).alias("value"))
 
 
 def judgements(spark: SparkSession, path: str) -> DataFrame:
@@ -109,13 +109,18 @@ def json_documents(spark: SparkSession, path: str, multi_line: bool = False) ->
     return spark.read.json(path, multiLine=multi_line)
 
 
-def tree_depths(spark: SparkSession, edges: DataFrame, most: int = 30) -> DataFrame:
-    """node, root, depth and path of a forest of (parent, child), level by level."""
+def tree_depths(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """node, root, depth and path of a forest of (parent, child), level by level; a node on a cycle is under no root.
+
+    Levels are checkpointed if there is a folder for it, so plans of deep trees stay short.
+    """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
     level = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.col("node").cast("string").alias("path"))
     out = level
-    for _ in range(most):
+    while True:
         level = level.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node"), "root", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", F.col("child").cast("string")).alias("path"))
+        level = level.checkpoint() if folder else level.persist()
         if level.isEmpty():
             break
         out = out.unionByName(level)
