@@ -41,7 +41,7 @@ from . import spark as sp
 from . import text as tx
 
 SIGNED = "doc_id long, n_shingles long, set_hash long, set_check long, bands array<long>"
-SETS = "doc_id long, shingles array<long>"
+SETS = "node long, shingles array<long>"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,15 +135,38 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return sp.arrow_map(docs, run, SIGNED)
 
 
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """The full set of each document."""
+_BITS = 1 << 22
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (tx.mix64(ids.view(np.uint64)) >> np.uint64(64 - 22)).astype(np.int64)
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The full set of each document among the nodes: node, shingles.
+
+    Texts aren't shuffled: a table of ``_BITS`` bits says which documents may be nodes, and of these the sets go to the join.
+    """
+
+    def bits(batches):
+        seen = np.zeros(_BITS, bool)
+        for batch in batches:
+            seen[_bit(np.asarray(batch.column(0)))] = True
+        yield sp.batch("bit int", np.flatnonzero(seen))
+
+    marked = np.zeros(_BITS, bool)
+    marked[sp.arrow_map(nodes.select("node"), bits, "bit int").distinct().toArrow()["bit"].to_numpy()] = True  # at most _BITS rows
+    held = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
 
     def run(batches):
-        for batch, chunk in tx.chunks(batches, "text"):
-            value, first = shingles(chunk, n)
-            yield sp.batch(SETS, batch.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value.view(np.int64))))
+        marked = np.unpackbits(held.value).astype(bool)
+        for batch in batches:
+            some = batch.filter(pa.array(marked[_bit(np.asarray(batch.column(0)))])) if batch.num_rows else batch
+            for rows, chunk in tx.chunks([some], "text"):
+                value, first = shingles(chunk, n)
+                yield sp.batch(SETS, rows.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value.view(np.int64))))
 
-    return sp.arrow_map(docs, run, SETS)
+    return sp.arrow_map(docs.select("doc_id", "text"), run, SETS).join(nodes.select("node").hint("merge"), "node", "left_semi")
 
 
 def components(links: DataFrame, what: str = "components") -> DataFrame:
@@ -215,7 +238,7 @@ def docs_repeat(full: DataFrame) -> bool:
 
 def _mixed(band: DataFrame, of: DataFrame, total: int) -> tuple[int, DataFrame]:
     """The rows of buckets that still hold different components, with ``comp``; and how many there are."""
-    now = sp.written(band.select("band", "node", "n").join(of, "node", "left").select("band", "node", "n", F.coalesce("least", "node").alias("comp")), "placed")
+    now = sp.written(band.select("band", "node", "n").join(of.hint("merge"), "node", "left").select("band", "node", "n", F.coalesce("least", "node").alias("comp")), "placed")
     buckets = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi")
     out = sp.written(sp.join_one(now, buckets.select("band"), ["band"], sp.hot_keys(buckets, ["band"], total), "node"), "mixed")
     return out.count(), out
@@ -283,7 +306,7 @@ def _rest(mixed: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
     shingle's nodes, those of the commonest component aren't paired with each other.
     """
     nodes = mixed.select("node", "n", "comp").distinct()
-    sets = sp.written(full.join(nodes, "node").select("node", "n", "comp", "shingles"), "rest")
+    sets = sp.written(full.join(nodes.hint("merge"), "node").select("node", "n", "comp", "shingles"), "rest")
     heads = sp.written(_heads(sets, threshold), "prefixes")
     major = heads.groupBy("x", "comp").agg(F.count("*").alias("c")).groupBy("x").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"), F.sum("c").alias("k")).filter("comps > 1")
     major = sp.written(major.select("x", "major", "k"), "shared")
@@ -309,16 +332,15 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     # equal sets: one class, named by its least id; only that row's bands go on
     alike = ["set_hash", "set_check", "n_shingles"]
     classes = sp.written(sign.filter("n_shingles > 0").groupBy(*alike).agg(F.min("doc_id").alias("node"), F.count("*").alias("k")), "classes")
-    band = sign.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands").join(classes.select("node"), "node", "left_semi").select("node", "n", F.explode("bands").alias("band"))
+    band = sign.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands").join(classes.select("node").hint("merge"), "node", "left_semi").select("node", "n", F.explode("bands").alias("band"))
     total = bands * classes.count()
     shared = sp.written(band.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
     hot = sp.hot_keys(shared.select("band", F.col("members").alias("k")), ["band"], total)
     band = sp.written(sp.join_one(band, shared, ["band"], hot, "node"), "bands")
     # hubs: the nodes with most company
     weight = band.groupBy("node").agg(F.sum("members").alias("weight"))
-    band = sp.written(band.join(weight, "node").select("band", "node", "n", (-F.col("weight")).alias("turn")), "buckets")
-    full = sets_of(named.join(band.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle)
-    full = sp.written(full.select(F.col("doc_id").alias("node"), "shingles"), "sets")
+    band = sp.written(band.join(weight.hint("merge"), "node").select("band", "node", "n", (-F.col("weight")).alias("turn")), "buckets")
+    full = sp.written(sets_of(named, sp.written(weight.select("node"), "nodes"), shingle), "sets")
     hub = band.groupBy("band").agg(F.min(F.struct("turn", "node", "n")).alias("h")).select("band", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
     fits = 100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")  # else sizes alone rule the pair out
     pairs = sp.join_one(band, hub, ["band"], hot, "node").filter("node <> hub").filter(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
@@ -330,7 +352,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
         if not found.isEmpty():
             of = components(links.unionByName(found))
     # from classes back to documents
-    least = classes.join(of, "node", "left").select(*alike, F.coalesce("least", "node").alias("component_id"))
+    least = classes.join(of.hint("merge"), "node", "left").select(*alike, F.coalesce("least", "node").alias("component_id"))
     hot = sp.hot_keys(classes, alike, sign.count())
     out = sp.join_one(sign.select("doc_id", *alike), least, alike, hot, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")

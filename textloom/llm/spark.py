@@ -72,11 +72,11 @@ def all_parts():
 
 
 def join_one(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, unique: str, how: str = "inner") -> DataFrame:
-    """Joins rows with a table of one row a key; hot keys are dealt over tasks by the column ``unique``."""
+    """Joins rows with a table of one row a key; hot keys are dealt over tasks by the column ``unique``. At every size it is a sort-merge join."""
     known = F.broadcast(hot)  # fewer than HOT rows
     left = many.join(known, keys, "left").withColumn("__part", part_of(unique)).drop("parts")
     right = one.join(known, keys, "left").withColumn("__part", all_parts()).drop("parts")
-    return left.join(right, [*keys, "__part"], how).drop("__part")
+    return left.join(right.hint("merge"), [*keys, "__part"], how).drop("__part")
 
 
 def schema_of(spec: str | StructType) -> StructType:
