@@ -3,8 +3,9 @@
 A text is the L2-normalised TF-IDF vector of its hashed byte 2-, 3- and 4-grams
 (letters without case, runs of anything else as one border).  Document frequencies
 are counted over all labelled training documents.  Centroids are fitted by
-spherical k-means on a bounded sample of each language, by hash of the id: at most
-``sample`` documents of each of the ``most_languages`` most frequent languages.  A
+spherical k-means on a bounded sample of each language, by hash of id and text: an
+expected ``sample`` distinct documents of each language, and twice as many at most.
+All languages are learned; the model has 128 kB for each.  A
 text gets the language of the centroid with the highest cosine; it is rejected when
 its distance is above a bound that is fitted, by language, on the same sample.
 
@@ -132,10 +133,10 @@ def held_out(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def train(labelled: DataFrame, centroids: int = 4, sample: int = 1500, most_languages: int = 256, margin: float = 0.6) -> Model:
+def train(labelled: DataFrame, centroids: int = 4, sample: int = 1500, margin: float = 0.6) -> Model:
     """The model of a table (doc_id, text, lang) of labelled documents.
 
-    sample: most documents of a language that centroids are fitted on.
+    sample: expected number of documents of a language that centroids are fitted on; twice as many are the most.
     """
     spark = labelled.sparkSession
     labelled = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
@@ -156,14 +157,14 @@ def train(labelled: DataFrame, centroids: int = 4, sample: int = 1500, most_lang
     counted = totals.filter("bucket IS NOT NULL").toPandas()  # at most DIMS rows
     df[counted["bucket"]] = counted["n"]
     n = totals.filter("bucket IS NULL AND lang IS NULL").agg(F.sum("n")).first()[0] or 0
-    langs = [(r.lang, r.n) for r in totals.filter("lang IS NOT NULL").orderBy(F.desc("n"), "lang").limit(most_languages).collect()]
+    langs = [(r.lang, r.n) for r in totals.filter("lang IS NOT NULL").orderBy("lang").collect()]  # a row a language
     idf = (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
     if not langs:
         return Model([], idf, np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), np.zeros(0))
     # a share of each language by hash; its expected size is the bound
     share = spark.createDataFrame([(name, min(1.0, sample / m)) for name, m in langs], "lang string, share double")
-    place = (F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1))) / float(1 << 40)
-    chosen = labelled.join(F.broadcast(share), "lang").filter(place < F.col("share")).select("lang", "doc_id", "text")
+    place = (F.xxhash64("doc_id", "text", F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1))) / float(1 << 40)
+    chosen = labelled.join(F.broadcast(share), "lang").filter(place < F.col("share")).select("lang", "doc_id", "text").dropDuplicates()
 
     def fit(table: pa.Table) -> pa.Table:
         order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
@@ -186,7 +187,7 @@ def train(labelled: DataFrame, centroids: int = 4, sample: int = 1500, most_lang
 
 def identify(docs: DataFrame, model: Model, rest: list[str], text: str = "text") -> DataFrame:
     """Columns ``rest`` with lang_pred, score and rejected."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most 256 languages of a few vectors
+    held = docs.sparkSession.sparkContext.broadcast(model)  # a few vectors a language
     schema = sp.rows_schema(docs, rest, "lang_pred string, score double, rejected boolean")
     arrow = sp.arrow_schema(schema)
 
