@@ -97,7 +97,7 @@ def test_pairs_against_dictionaries(spark, documents, monkeypatch):
         others = sum(bucket[t] == b for t in counts if t not in head) + 1
         assert (10**own).sum() + others * 10 ** shares.other[b] == pytest.approx(1)
     held = spark.sparkContext.broadcast(shares)
-    answers = maxent.told(maxent.asked(named.repartition(3), held, 5)).toPandas()
+    answers = maxent.told(maxent.asked(named.repartition(3), held, 5), 5).toPandas()
     cells = np.zeros(maxent.CELLS, np.int64)
     below = answers[answers["row"] < 0]
     cells[-1 - below["row"].to_numpy()] = below["value"]

@@ -85,7 +85,8 @@ def count(docs: DataFrame, keys_of: Callable[[tx.Chunk], np.ndarray], shards: in
         sp.give_back()
         return out
 
-    return sent(docs, keys_of, shards, text).groupBy("shard").applyInArrow(add, sp.schema_of(schema))
+    # as many partitions as shards, whatever the session's setting
+    return sent(docs, keys_of, shards, text).repartition(shards, "shard").groupBy("shard").applyInArrow(add, sp.schema_of(schema))
 
 
 ROWS = "key long, n long"

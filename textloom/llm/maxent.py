@@ -318,7 +318,7 @@ def asked(named: DataFrame, held, shards: int) -> DataFrame:
     return sp.arrow_map(named.select("doc_id", "text", "held_out"), run, ASKED)
 
 
-def told(requests: DataFrame) -> DataFrame:
+def told(requests: DataFrame, shards: int) -> DataFrame:
     """Of each text and shard the sum of what its pairs add to log10 P(token | bucket); as rows below 0 the cells' counts."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -353,7 +353,7 @@ def told(requests: DataFrame) -> DataFrame:
         sp.give_back()
         return pa.Table.from_batches([sp.batch(TOLD, ids, value)])
 
-    return requests.groupBy("shard").applyInArrow(run, sp.schema_of(TOLD))
+    return requests.repartition(shards, "shard").groupBy("shard").applyInArrow(run, sp.schema_of(TOLD))
 
 
 def in_table(cells: np.ndarray, pairs: Pairs, doc: np.ndarray, training: np.ndarray) -> np.ndarray:
@@ -401,7 +401,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", is_he
     head = vocabulary.filter(F.col("n") >= bound).toArrow() if bound is not None else vocabulary.limit(0).toArrow()
     shares = Shares(head["key"].to_numpy().view(np.uint64), head["n"].to_numpy(), bucket_n, bucket_types)
     held_shares = spark.sparkContext.broadcast(shares)  # at most HEAD tokens
-    answers = sp.written(told(asked(named, held_shares, max(16, (tokens or 0) // tokens_a_shard))), "pairs")
+    shards = max(16, (tokens or 0) // tokens_a_shard)
+    answers = sp.written(told(asked(named, held_shares, shards), shards), "pairs")
     cells = np.zeros(CELLS, np.int64)
     found = answers.filter("row < 0").toArrow()  # at most CELLS rows
     cells[-1 - found["row"].to_numpy()] = found["value"].to_numpy().astype(np.int64)
