@@ -5,9 +5,10 @@ longer than a window gives full windows of its own; what is left of it, and ever
 shorter document, is an item.  A block's items start as partial partitions with
 one filled subset each.  The two partial partitions with the largest spreads are
 merged again and again, largest subset with smallest, so that their imbalances
-cancel out, until one remains: near-equal windows.  Where a window still exceeds
-its capacity, its excess is cut off as new items, which are merged into the
-partition likewise; when cutting hasn't been enough, the window count rises.
+cancel out, until one remains: near-equal windows.  Where a window exceeds its
+capacity, the window count rises and the items are differenced anew.  Where it has
+risen by the padding allowed and items are still too large to share windows, the
+excess of the overfull windows is cut off and fills the room of the others.
 
 Defined cases: a null or empty text is its end id alone; repeated rows and null
 ids are packed like others; an empty table gives an empty one; other columns don't
@@ -17,6 +18,7 @@ matter.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 
 import numpy as np
@@ -57,23 +59,10 @@ class _Partial:
         return _Partial(sums[order], np.where(self.head >= 0, self.head, head)[order], np.where(head >= 0, tail, self.tail)[order])
 
 
-def difference(sizes: np.ndarray, windows: list[list[int]] | int, fresh: list[int] | None = None) -> list[list[int]]:
-    """Karmarkar-Karp: items in near-equal windows.
-
-    windows: how many, or windows that hold items already, which the ``fresh`` items join.
-    """
-    k = windows if isinstance(windows, int) else len(windows)
-    fresh = range(len(sizes)) if fresh is None else fresh
+def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
+    """Karmarkar-Karp: the items in k near-equal windows."""
     following = np.full(len(sizes), -1, np.int64)
-    heap = [(-int(sizes[i]), n, i) for n, i in enumerate(fresh)]
-    if not isinstance(windows, int):
-        sums = np.array([sum(int(sizes[i]) for i in w) for w in windows], np.int64)
-        for w in windows:
-            following[w[:-1]] = w[1:]
-        order = np.argsort(-sums, kind="stable")
-        head, tail = (np.array([w[at] if w else -1 for w in windows], np.int64)[order] for at in (0, -1))
-        start = _Partial(sums[order], head, tail)
-        heap.append((-start.spread - 1, len(heap), start))
+    heap = [(-int(n), i, i) for i, n in enumerate(sizes)]
     heapq.heapify(heap)
     n = len(heap)
     full = lambda x: x if isinstance(x, _Partial) else _Partial.single(int(sizes[x]), x, k)
@@ -91,8 +80,25 @@ def difference(sizes: np.ndarray, windows: list[list[int]] | int, fresh: list[in
     return out
 
 
-def pack(lengths: np.ndarray, capacity: int, cuts: int = 4) -> tuple[np.ndarray, ...]:
-    """Packs documents of the given lengths: document, start, length, window and offset of each piece."""
+def fitted(sizes: np.ndarray, capacity: int, most: int) -> list[list[int]]:
+    """Windows within their capacity, as few as differencing finds; ``most`` windows, some overfull, if it takes more."""
+    total = int(sizes.sum())
+    k = -(-total // capacity)
+    while True:
+        windows = difference(sizes, k)
+        fullest = max(int(sizes[w].sum()) for w in windows)
+        if fullest <= capacity or k >= most:
+            return windows
+        # the count rises to where the fullest window fits, if it stays as far above the mean
+        room = capacity - (fullest - total / k)
+        k = min(most, max(k + 1, math.ceil(total / room) if room > 0 else most))
+
+
+def pack(lengths: np.ndarray, capacity: int, padding: float = 0.01) -> tuple[np.ndarray, ...]:
+    """Packs documents of the given lengths: document, start, length, window and offset of each piece.
+
+    padding: windows over the least number, as a share of it (at least one), before items are cut.
+    """
     doc, start, size = [], [], []
     whole = []  # pieces that fill a window
     for d, n in enumerate(lengths.tolist()):
@@ -105,33 +111,35 @@ def pack(lengths: np.ndarray, capacity: int, cuts: int = 4) -> tuple[np.ndarray,
             size.append(n % capacity)
     windows: list[list[int]] = []
     if size:
-        windows = difference(np.array(size), -(-sum(size) // capacity))
-        turn = 0
-        while True:
-            over = []
-            for w in windows:
-                total = 0
-                for at, i in enumerate(w):
-                    if total + size[i] > capacity:
-                        room = capacity - total
-                        over += w[at + 1 :]
-                        if room:  # cut this piece
-                            doc.append(doc[i])
-                            start.append(start[i] + room)
-                            size.append(size[i] - room)
-                            over.append(len(size) - 1)
-                            size[i] = room
-                        else:
-                            over.append(i)
-                        del w[at + (room > 0) :]
-                        break
-                    total += size[i]
-            if not over:
-                break
-            turn += 1
-            if turn % cuts == 0 or sum(size) > capacity * len(windows):
-                windows.append([])
-            windows = difference(np.array(size), windows, over)
+        least = -(-sum(size) // capacity)
+        windows = fitted(np.array(size), capacity, least + max(1, int(padding * least)))
+
+        def cut(i: int, room: int) -> int:
+            """What is beyond the first ``room`` ids of a piece, as a piece of its own."""
+            doc.append(doc[i])
+            start.append(start[i] + room)
+            size.append(size[i] - room)
+            size[i] = room
+            return len(size) - 1
+
+        over = []
+        for w in windows:
+            excess = sum(size[i] for i in w) - capacity
+            while excess > 0:
+                i = w.pop()
+                if size[i] > excess:
+                    w.append(i)
+                    i = cut(i, size[i] - excess)
+                over.append(i)
+                excess -= size[i]
+        for w in windows if over else ():
+            room = capacity - sum(size[i] for i in w)
+            while over and room:
+                i = over.pop()
+                if size[i] > room:
+                    over.append(cut(i, room))
+                w.append(i)
+                room -= size[i]
     window = np.zeros(len(size), np.int64)
     offset = np.zeros(len(size), np.int64)
     used = 0
