@@ -180,7 +180,8 @@ def of_length(term: Column, least: int, most: int) -> Column:
     return F.length(term).between(least, most)
 
 
-def is_number(term: Column) -> Column:
+def is_digits(term: Column) -> Column:
+    """Groups of digits with single commas or points between them, without a sign."""
     return term.rlike(r"^[0-9]+([.,][0-9]+)*$")
 
 
@@ -193,7 +194,7 @@ def analyzed(tokens: DataFrame, stopwords: list[str], least: int = 2, most: int
     """Tokens (with a column ``term``) after length, punctuation and stopword filters, with numbers marked by their length."""
     x = F.col("term")
     kept = tokens.filter(of_length(x, least, most) & ~is_punctuation(x) & ~x.isin(stopwords))
-    return kept.withColumn("term", F.when(is_number(x), F.concat(F.lit("<nu"), F.length(x).cast("string"), F.lit(">"))).otherwise(x))
+    return kept.withColumn("term", F.when(is_digits(x), F.concat(F.lit("<nu"), F.length(x).cast("string"), F.lit(">"))).otherwise(x))
 
 
 def _char(code: Column) -> Column:

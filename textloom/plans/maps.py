@@ -87,7 +87,7 @@ def text_stopword_construction(spark, d):
 @query(f"WITH {TOKENS} SELECT doc_id, count(*) AS n, count(*) FILTER (length(term) BETWEEN 2 AND 20) AS of_length, count(*) FILTER (NOT regexp_full_match(term, '[0-9]+([.,][0-9]+)*')) AS not_numbers, count(*) FILTER (regexp_matches(term, '[\\p{{L}}\\p{{N}}]')) AS not_punctuation FROM tokens GROUP BY doc_id")
 def text_token_filters(spark, d):
     x = F.col("term")
-    return toks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(t.of_length(x, 2, 20)).alias("of_length"), F.count_if(~t.is_number(x)).alias("not_numbers"), F.count_if(~t.is_punctuation(x)).alias("not_punctuation"))
+    return toks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(t.of_length(x, 2, 20)).alias("of_length"), F.count_if(~t.is_digits(x)).alias("not_numbers"), F.count_if(~t.is_punctuation(x)).alias("not_punctuation"))
 
 
 @query(f"WITH {VOCAB}, {_STOP}, a AS (SELECT doc_id, CASE WHEN regexp_full_match(term, '[0-9]+([.,][0-9]+)*') THEN '<nu' || length(term) || '>' ELSE term END AS term FROM tokens WHERE length(term) BETWEEN 2 AND 20 AND regexp_matches(term, '[\\p{{L}}\\p{{N}}]') AND term NOT IN (SELECT term FROM stop)) SELECT doc_id, count(*) AS n, count(DISTINCT term) AS n_types, min(term) AS first, max(term) AS last FROM a GROUP BY doc_id")
