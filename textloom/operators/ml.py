@@ -11,15 +11,42 @@ from textloom.functions import vector as v
 from textloom.operators.mining import connected
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
-    """The most similar vectors (id, vec) of each query (qid, vec) by cosine.
+def nearest(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block: int = 20_000, query_block: int = 10_000, tile: int = 256) -> DataFrame:
+    """The most similar vectors (id, vec) of each query (qid, vec) by cosine, ties (to nine places) by id; a query isn't its own neighbour.
 
-    Queries are a stated set; they go to the vectors in blocks as one matrix, and each task keeps its own best.
+    Exact: each block of queries meets each block of vectors as a product of matrices, from which only every query's best
+    are kept. The zero vector has a cosine of 0 with all others; rows without a vector are left out.
     """
-    block = queries.agg(F.collect_list(F.struct("qid", "vec")).alias("q"))
-    best = vectors.select("id", v.unit(F.col("vec")).alias("vec")).join(block).select("id", F.explode(F.transform("q", lambda q: F.struct(q["qid"].alias("qid"), v.dot(v.unit(q["vec"]), F.col("vec")).alias("cosine")))).alias("x"))
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("cosine", 9)), "id")
-    return best.select("x.qid", "id", "x.cosine").filter("qid <> id").withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top_k)
+
+    def dealt(rows: DataFrame, key: str, size: int, own: str) -> tuple[DataFrame, int]:
+        blocks = max(1, -(-rows.count() // size))
+        return rows.filter("vec IS NOT NULL").select(key, v.unit(F.col("vec")).alias("vec"), F.pmod(F.xxhash64(key, "vec"), F.lit(blocks)).cast("long").alias(own)), blocks
+
+    rows, n_rows = dealt(vectors, "id", block, "p")
+    asked, n_asked = dealt(queries, "qid", query_block, "q")
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)).cast("array<long>")))
+    asked = asked.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)).cast("array<long>")))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            ids, x = left["id"].to_numpy(), np.stack(left["vec"].to_numpy())
+            qids, y = right["qid"].to_numpy(), np.stack(right["vec"].to_numpy())
+            for at in range(0, len(y), tile):
+                cosine = y[at : at + tile] @ x.T
+                cosine[qids[at : at + tile, None] == ids] = -np.inf
+                place = np.round(cosine, 9)
+                least = np.partition(place, -top_k, axis=1)[:, -top_k] if top_k < len(x) else place.min(axis=1)
+                for i, row in enumerate(place):
+                    found = np.flatnonzero((row >= least[i]) & (row > -np.inf))
+                    found = found[np.lexsort((ids[found], -row[found]))[:top_k]]
+                    out.append(pd.DataFrame({"qid": qids[at + i], "id": ids[found], "cosine": cosine[i, found], "place": row[found]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": right["qid"][:0], "id": left["id"][:0], "cosine": np.zeros(0), "place": np.zeros(0)})
+
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}"
+    best = rows.groupBy("p", "q").cogroup(asked.groupBy("p", "q")).applyInPandas(run, f"{kinds}, cosine double, place double")
+    w = Window.partitionBy("qid").orderBy(F.desc("place"), "id")
+    return best.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top_k).select("qid", "id", "cosine", "rank")
 
 
 def centroids(rows: DataFrame) -> DataFrame:
