@@ -10,25 +10,20 @@ from pyspark.sql import functions as F
 
 
 def frequent_phrases(sentence_tokens: DataFrame, support: int = 5, longest: int = 4) -> DataFrame:
-    """Contiguous phrases of 2 to ``longest`` words with the given support, level by level.
+    """Contiguous phrases of 2 to ``longest`` words with the given support, and how many documents have them.
 
-    A phrase of n words is counted only where both its parts of n - 1 words are frequent; the counts of a level are
-    aggregated before they are shuffled, and only positions that are still alive go on.
+    Tokens are shuffled once, by document: a window gives the phrases that start at a word, and they are counted in
+    each document on the same partitions.  Only (phrase, n, df), summed up again before, goes through a second shuffle;
+    a common phrase is a row a task there.
     """
-    w = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
-    alive = sentence_tokens.select("doc_id", "sent_id", "pos", F.col("term").alias("phrase"))
-    words = sentence_tokens.select("doc_id", "sent_id", "pos", *(F.lead("term", k).over(w).alias(f"t{k}") for k in range(1, longest)))
-    out = None
-    for n in range(2, longest + 1):
-        # the next phrase at a place exists where both of its parts are alive
-        following = alive.select("doc_id", "sent_id", (F.col("pos") - 1).alias("pos")).distinct()
-        longer = alive.join(words, ["doc_id", "sent_id", "pos"]).filter(F.col(f"t{n - 1}").isNotNull()).join(following, ["doc_id", "sent_id", "pos"], "left_semi")
-        longer = longer.select("doc_id", "sent_id", "pos", F.concat_ws(" ", "phrase", f"t{n - 1}").alias("phrase"))
-        counts = longer.groupBy("phrase").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("df")).filter(F.col("n") >= support)
-        alive = longer.join(counts.select("phrase"), "phrase")
-        level = counts.select("phrase", F.lit(n).cast("long").alias("words"), "n", "df")
-        out = level if out is None else out.unionByName(level)
-    return out
+    w = Window.partitionBy("doc_id").orderBy("sent_id", "pos")
+    text, spans = F.col("term"), []
+    for k in range(1, longest):
+        text = F.concat(text, F.lit(" "), F.lead("term", k).over(w))
+        spans.append(F.when(F.lead("sent_id", k).over(w) == F.col("sent_id"), F.struct(F.lit(k + 1).cast("long").alias("words"), text.alias("phrase"))))
+    rows = sentence_tokens.select("doc_id", F.array(*spans).alias("s")).select("doc_id", F.explode("s").alias("s")).filter("s IS NOT NULL").select("doc_id", "s.*")
+    in_doc = rows.groupBy("doc_id", "phrase", "words").agg(F.count("*").alias("n"))
+    return in_doc.groupBy("phrase", "words").agg(F.sum("n").alias("n"), F.count("*").alias("df")).filter(F.col("n") >= support)
 
 
 def map_phrases(toks: DataFrame, phrases: DataFrame, longest: int = 4) -> DataFrame:
