@@ -102,6 +102,36 @@ def cluster_expansion(index: Index, ranked: DataFrame, collections: DataFrame, n
     return best_words(words.join(share, ["qid", "collection"]).groupBy("qid", "term").agg(F.sum(F.col("share") * F.col("p")).alias("p")), n_words)
 
 
+def proximities(sentence_tokens: DataFrame, by: tuple[str, ...], window: int) -> DataFrame:
+    """*by, left, right, weight: sums of 1 / distance of two terms of a sentence, both ways; a term beside itself counts once."""
+    w = Window.partitionBy(*by, "sent_id").orderBy("pos")
+    ahead = F.array(*(F.struct(F.lead("term", k).over(w).alias("right"), F.lit(1.0 / k).alias("weight")) for k in range(1, window + 1)))
+    pairs = sentence_tokens.select(*by, F.col("term").alias("left"), ahead.alias("x")).select(*by, "left", F.explode("x").alias("x")).filter("x.right IS NOT NULL").groupBy(*by, "left", "x.right").agg(F.sum("x.weight").alias("weight"))
+    back = pairs.filter("left <> right").select(*by, F.col("right").alias("left"), F.col("left").alias("right"), "weight")
+    return pairs.unionByName(back).groupBy(*by, "left", "right").agg(F.sum("weight").alias("weight"))
+
+
+def translated(vectors: DataFrame, near: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """*by, term, p: what a term gets of the probabilities of the terms near it, each of which gives its whole own by shares of weight.
+
+    ``vectors`` holds *by, term, tf; ``near`` the symmetric weights of ``proximities``.  Words without a neighbour get 0.
+    """
+    p = vectors.select(*by, "term", (F.col("tf") / F.sum("tf").over(Window.partitionBy(*by))).alias("p"))
+    share = near.select(*by, "left", "right", (F.col("weight") / F.sum("weight").over(Window.partitionBy(*by, "right"))).alias("share"))
+    got = share.join(p.withColumnRenamed("term", "right"), [*by, "right"]).groupBy(*by, F.col("left").alias("term")).agg(F.sum(F.col("share") * F.col("p")).alias("got"))
+    return p.select(*by, "term").join(got, [*by, "term"], "left").select(*by, "term", F.coalesce("got", F.lit(0.0)).alias("p"))
+
+
+def translated_model(index: Index, sentence_tokens: DataFrame, ranked: DataFrame, window: int = 5, mix: float = LAMBDA, n_words: int = 30) -> DataFrame:
+    """A relevance model of the translated models of the ranked documents, smoothed by the collection (Jelinek-Mercer)."""
+    ids = ranked.select("doc_id").distinct()
+    own = translated(index.vectors.join(ids, "doc_id"), proximities(sentence_tokens.join(ids, "doc_id"), ("doc_id",), window), ("doc_id",))
+    words = ranked.select("qid", "doc_id", "score").join(own, "doc_id").groupBy("qid", "term").agg(F.sum(F.col("score") * F.col("p")).alias("seen"))
+    mass = ranked.groupBy("qid").agg(F.sum("score").alias("total"))
+    rows = words.join(mass, "qid").join(background(index), "term")
+    return best_words(rows.select("qid", "term", jelinek_mercer(F.col("seen"), F.col("total") * F.col("far"), mix).alias("p")), n_words)
+
+
 def with_variants(model: DataFrame, variants: DataFrame, mix: float = 0.1) -> DataFrame:
     """A query model (qid, term, p) mixed with the variants (term, variant) of its words, which weigh alike; a word isn't its own variant."""
     other = model.join(variants.filter("term <> variant").distinct(), "term").groupBy("qid", F.col("variant").alias("term")).agg(F.count("*").alias("n"))

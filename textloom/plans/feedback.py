@@ -86,6 +86,17 @@ def ir_cluster_expansion(spark, d):
     return model(f.cluster_expansion(i, best, collections))
 
 
+_SENTS = "sl AS (SELECT doc_id, generate_subscripts(x, 1) AS sent_id, unnest(x) AS line FROM (SELECT doc_id, string_split_regex(lower(text), '\\n+') AS x FROM documents WHERE doc_id IN (SELECT doc_id FROM top))), sw AS (SELECT doc_id, sent_id, list_filter(string_split_regex(line, '\\s+'), lambda t: t <> '') AS w FROM sl), st AS (SELECT doc_id, sent_id, generate_subscripts(w, 1) AS pos, unnest(w) AS term FROM sw)"
+_NEAR = "pa AS (SELECT a.doc_id, a.term AS l, b.term AS r, 1.0 / (b.pos - a.pos) AS x FROM st a JOIN st b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND b.pos > a.pos AND b.pos <= a.pos + 5), nr AS (SELECT doc_id, l, r, sum(x) AS x FROM (SELECT * FROM pa UNION ALL SELECT doc_id, r, l, x FROM pa WHERE l <> r) GROUP BY ALL)"
+_MOVED = "pd AS (SELECT doc_id, term, tf / sum(tf) OVER (PARTITION BY doc_id) AS p FROM tf WHERE doc_id IN (SELECT doc_id FROM top)), gt AS (SELECT doc_id, l AS term, sum(share * p) AS p FROM (SELECT doc_id, l, r AS term, x / sum(x) OVER (PARTITION BY doc_id, r) AS share FROM nr) JOIN pd USING (doc_id, term) GROUP BY ALL), tr AS (SELECT pd.doc_id, pd.term, coalesce(gt.p, 0) AS p FROM pd LEFT JOIN gt USING (doc_id, term))"
+
+
+@query(f"{_RANKED}, {_SENTS}, {_NEAR}, {_MOVED}, tw AS (SELECT qid, term, 0.5 * seen + 0.5 * total * cf / n_tokens AS p FROM (SELECT qid, term, sum(score * p) AS seen FROM top JOIN tr USING (doc_id) GROUP BY ALL) JOIN (SELECT qid, sum(score) AS total FROM top GROUP BY qid) USING (qid) JOIN vocab USING (term), cs), {_best('o', 'tw')} {_OUT} o")
+def ir_translated_model(spark, d):
+    i, best = kld(spark, d)
+    return model(f.translated_model(i, c.sentence_tokens(table(spark, d, "documents")), best))
+
+
 @query(f"{_M}, qm AS (SELECT qid, term, sum(qtf) / any_value(ql) AS p FROM q JOIN ql USING (qid) GROUP BY qid, term), vr AS (SELECT qm.qid, v.term, count(*) AS n FROM qm, vocab v WHERE v.term IN (qm.term || 's', qm.term || 'n', qm.term || 'r') GROUP BY ALL) SELECT qid, term, round(sum(p), 6) AS p FROM (SELECT qid, term, 0.9 * p AS p FROM qm UNION ALL SELECT qid, term, 0.1 * n / sum(n) OVER (PARTITION BY qid) FROM vr) GROUP BY ALL")
 def ir_variant_expansion(spark, d):
     """Variants are words of the vocabulary that add one of three letters."""
