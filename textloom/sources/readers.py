@@ -65,7 +65,7 @@ def run_lines(scored: DataFrame, name: str, k: int = 1000) -> DataFrame:
 def judgements(spark: SparkSession, path: str) -> DataFrame:
     """qid, doc_id, rel of space-delimited judgements; lines that start with # are comments."""
     f = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).filter(~F.col("value").startswith("#")).select(f.alias("f")).filter(F.size("f") >= 4).select(F.col("f")[0].alias("qid"), F.col("f")[2].alias("doc_id"), F.when(F.col("f")[3] == "RELEVANT", 1).otherwise(F.try_to_number(F.col("f")[3], F.lit("999")).cast("int")).alias("rel")).na.fill({"rel": 0})
+    return spark.read.text(path).filter(~F.col("value").startswith("#")).select(f.alias("f")).filter(F.size("f") >= 4).select(F.col("f")[0].alias("qid"), F.col("f")[2].alias("doc_id"), F.when(F.col("f")[3] == "RELEVANT", 1).otherwise(F.col("f")[3].try_cast("int")).alias("rel")).na.fill({"rel": 0})
 
 
 def agreed_judgements(rows: DataFrame) -> DataFrame:
@@ -75,11 +75,17 @@ def agreed_judgements(rows: DataFrame) -> DataFrame:
 
 
 def key_line_records(spark: SparkSession, path: str, start: str = ".I") -> DataFrame:
-    """Records whose fields begin with lines such as ``.T``: a map from key to text."""
-    rows = spark.read.option("lineSep", f"{start} ").text(path).filter(F.trim("value") != "")
+    """Records whose fields begin with lines such as ``.T``: a map from key to text, the last one of a repeated key.
+
+    A record begins at a line that starts with ``start``; the same characters inside a line are text.
+    """
+    rows = spark.read.option("lineSep", f"\n{start} ").text(path).filter(F.trim("value") != "")
+    rows = rows.select(F.when(F.startswith("value", F.lit(f"{start} ")), F.substring("value", len(start) + 2, 1 << 30)).otherwise(F.col("value")).alias("value"))
     parts = F.split(F.concat(F.lit(f"{start}\n"), F.col("value")), r"(?:^|\n)(?=\.[A-Z]\s*\n)")
-    pairs = F.transform(F.filter(parts, lambda p: F.trim(p) != ""), lambda p: F.struct(F.trim(F.substring_index(p, "\n", 1)).alias("k"), F.trim(F.regexp_replace(p, r"^[^\n]*\n", "")).alias("v")))
-    return rows.select(F.map_from_entries(pairs).alias("record"))
+    pairs = F.transform(F.filter(parts, lambda p: F.trim(p) != ""), lambda p: F.struct(F.trim(F.substring_index(p, "\n", 1)).alias("k"), F.btrim(F.regexp_replace(p, r"^[^\n]*\n", ""), F.lit(" \t\n")).alias("v")))
+    keys = F.array_distinct(F.transform("pairs", lambda p: p["k"]))
+    last = F.transform(keys, lambda k: F.element_at(F.filter("pairs", lambda p: p["k"] == k), -1)["v"])
+    return rows.select(pairs.alias("pairs")).select(F.map_from_arrays(keys, last).alias("record"))
 
 
 def attribute_blocks(spark: SparkSession, path: str) -> DataFrame:
