@@ -1,8 +1,9 @@
 """Quality rules: word counts and an N-gram perplexity with bands by language.
 
-The model is a modified Kneser-Ney model of word bigrams.  Words are lower-cased (A-Z).  The most
-frequent ones (at most ``HEAD``, those with the highest counts) are symbols of their own, the others
-are one of ``CLASSES`` symbols by a hash of their last three bytes.  Spark counts all words and then
+The model is a modified Kneser-Ney model of word bigrams.  Words are lower-cased (A-Z).  All that occur
+``LEAST`` times or more are symbols of their own, however many they are; the others are one of ``CLASSES``
+symbols by a hash of their last three bytes.  The most frequent words (at most ``HEAD``) have the low
+numbers; the bigrams of a word beyond them are counted in that word's shard.  Spark counts all words and then
 all bigrams of symbols over all texts, in shards whose number grows with the corpus.  Discounts come
 from the counts of counts of all bigrams, lower-order probabilities from the numbers of distinct words
 before each, over all bigrams.  Bigrams that occur once are pruned, all others stay, however many they
@@ -45,9 +46,9 @@ from . import counts
 from . import spark as sp
 from . import text as tx
 
-HEAD, CLASSES, GRAMS = 1 << 17, 1 << 12, 1 << 21
-#: Symbols: words of the head, classes, the border of a document. A bigram is first << BITS | second.
-BITS = 18
+HEAD, CLASSES, GRAMS, LEAST = 1 << 17, 1 << 12, 1 << 21, 3
+#: Symbols: words of the head, classes, the border of a document, all further words. A bigram is first << BITS | second.
+BITS = 32
 BORDER = HEAD + CLASSES
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -65,17 +66,23 @@ def word_keys(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Vocabulary:
-    """Keys of the head in order, and of all symbols: tokens and types that they stand for."""
+    """Keys of the head in order, and of all symbols: tokens and types that they stand for. ``others``: keys of all further words in order."""
 
     keys: np.ndarray
     tokens: np.ndarray
     types: np.ndarray
+    others: np.ndarray
 
     def symbols(self, key: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return HEAD + (key & _CLASS_BITS).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, at, HEAD + (key & _CLASS_BITS).astype(np.int64))
+        out = HEAD + (key & _CLASS_BITS).astype(np.int64)
+        left = np.arange(len(key))
+        for keys, begin in ((self.keys, 0), (self.others, BORDER + 1)):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, key[left]), len(keys) - 1)
+                found = keys[at] == key[left]
+                out[left[found]] = begin + at[found]
+                left = left[~found]
+        return out
 
     def bigrams(self, chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All bigrams of symbols, with the border before and after each text that has words; and each text's first."""
@@ -91,6 +98,17 @@ class Vocabulary:
         return (before << BITS | out).astype(np.uint64), off
 
 
+def parts(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the second symbol of each bigram."""
+    return (gram >> np.uint64(BITS)).astype(np.int64), (gram & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
+    """Bigrams of words beyond the head go to the second's shard, or else to the first's, so that such a word's counts meet in few shards; those words are too rare to make one hot."""
+    first, second = parts(gram)
+    return counts.shards_of(np.where(second > BORDER, second, np.where(first > BORDER, first, gram.view(np.int64))).view(np.uint64), shards)
+
+
 def bound_of(table: DataFrame, most: int, least: int) -> int:
     """The least count, ``least`` or more, that at most ``most`` rows of the table reach."""
     few = F.least(F.col("n"), F.lit(1 << 14))
@@ -112,21 +130,30 @@ def bound_of(table: DataFrame, most: int, least: int) -> int:
 def vocabulary(docs: DataFrame, text: str = "text", docs_a_shard: int = 16_000) -> Vocabulary:
     shards = max(16, docs.count() // docs_a_shard)
     table = sp.written(counts.count(docs, lambda c: word_keys(c)[0], shards, counts.ROWS, counts.rows, text), "words")
-    bound = bound_of(table, HEAD, 3)
-    head = table.filter(F.col("n") >= bound).toArrow()  # at most HEAD rows
-    keys, n = head["key"].to_numpy().view(np.uint64), head["n"].to_numpy()
-    order = np.argsort(keys)
-    tokens, types = np.zeros(BORDER + 1), np.ones(BORDER + 1)
-    tokens[: len(keys)] = n[order]
-    rest = table.filter(F.col("n") < bound).groupBy(F.col("key").bitwiseAND(F.lit(CLASSES - 1)).alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()  # a row a class
+    bound = bound_of(table, HEAD, LEAST)
+
+    def in_order(few: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        found = few.toArrow()
+        keys, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+        order = np.argsort(keys)
+        return keys[order], n[order]
+
+    keys, n = in_order(table.filter(F.col("n") >= bound))  # at most HEAD rows
+    others, n_others = in_order(table.filter(F.col("n").between(LEAST, bound - 1)))  # a row a word that occurs LEAST times or more: 8 bytes each go to all tasks
+    tokens, types = np.zeros(BORDER + 1 + len(others)), np.ones(BORDER + 1)
+    tokens[: len(keys)], tokens[BORDER + 1 :] = n, n_others
+    rest = table.filter(F.col("n") < LEAST).groupBy(F.col("key").bitwiseAND(F.lit(CLASSES - 1)).alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()  # a row a class
     for r in rest:
         tokens[HEAD + r["class"]], types[HEAD + r["class"]] = r.n, r.types
-    return Vocabulary(keys[order], tokens, types)
+    return Vocabulary(keys, tokens, types, others)
 
 
 @dataclass
 class Model:
-    """Sorted keys of the bigrams held with counts; discounts; and of each symbol: back-off weight and lower-order log-probability of a word of it."""
+    """Sorted keys of the bigrams held with counts; discounts; and of each symbol: back-off weight and lower-order log-probability of a word of it.
+
+    Further words with the same values share a place in these arrays, after the border's; ``place`` has that of each.
+    """
 
     words: Vocabulary
     keys: np.ndarray
@@ -135,6 +162,14 @@ class Model:
     total: np.ndarray
     gamma: np.ndarray
     lower: np.ndarray
+    place: np.ndarray
+
+    def places(self, symbol: np.ndarray) -> np.ndarray:
+        further = symbol > BORDER
+        if further.any():
+            symbol = symbol.copy()
+            symbol[further] = self.place[symbol[further] - BORDER - 1]
+        return symbol
 
     def counts(self, gram: np.ndarray) -> np.ndarray:
         """Counts of bigrams, 0 for those not held."""
@@ -145,7 +180,7 @@ class Model:
 
     def logs(self, gram: np.ndarray, own: np.ndarray | None = None, own_first: np.ndarray | None = None, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log-probabilities (natural) of each bigram's second word after the first, and of it alone; without so many own counts. ``c``: counts, if not those held."""
-        first, second = (gram >> np.uint64(BITS)).astype(np.int64), (gram & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        first, second = (self.places(x) for x in parts(gram))
         c = self.counts(gram) if c is None else c
         total = self.total[first]
         if own is not None:
@@ -162,13 +197,18 @@ def kneser_ney(words: Vocabulary, keys: np.ndarray, n: np.ndarray, before: np.nd
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
     discount = np.array([0.0, 1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5])
     discount = np.clip(discount, [0, 0.05, 0.1, 0.15], [0, 0.95, 1.9, 2.85])
-    total = words.tokens.copy()
+    total = words.tokens
     total[BORDER] = texts
     seen = after[0] - discount[2] * after[1] - discount[3] * after[2]
     gamma = np.where(total > 0, 1 - seen / np.maximum(total, 1), 1.0)
     every = max(float(before.sum()), 1.0)
-    share = np.where(before > 0, before - 0.75, 0) / every + (0.75 * (before > 0).sum() / every if before.any() else 1.0) / (BORDER + 1)
-    return Model(words, keys, n, discount, total, gamma, np.log(share / words.types))
+    symbols = max(HEAD, len(words.keys) + len(words.others)) + CLASSES + 1
+    share = np.where(before > 0, before - 0.75, 0) / every + (0.75 * (before > 0).sum() / every if before.any() else 1.0) / symbols
+    of = tx.pd.DataFrame({"total": total[BORDER + 1 :], "gamma": gamma[BORDER + 1 :], "share": share[BORDER + 1 :]})
+    place = of.groupby(list(of.columns), sort=False).ngroup().to_numpy()  # in the order in which they first occur, as below
+    total, gamma, share = (np.concatenate([x[: BORDER + 1], y]) for x, y in zip((total, gamma, share), of.drop_duplicates().to_numpy().T))
+    types = np.concatenate([words.types, np.ones(len(share) - BORDER - 1)])
+    return Model(replace(words, tokens=words.tokens[:0], types=types), keys, n, discount, total, gamma, np.log(share / types), (BORDER + 1 + place).astype(np.int32))
 
 
 #: Kind 0: a shard's bigrams of two or more; 1: a symbol; 2: how many bigrams have each count up to 4, and at 0 how many texts begin; 3: how many of kind 0 have each level.
@@ -199,14 +239,16 @@ def trained(docs: DataFrame, text: str = "text", tokens_a_shard: int = 4_000_000
     """Counts words and bigrams of all texts with Spark and builds the model; at most GRAMS bigrams and a row a symbol come to the driver, all others stay in the table."""
     words = vocabulary(docs, text)
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(words)  # HEAD + CLASSES symbols
+    held = spark.sparkContext.broadcast(replace(words, tokens=words.tokens[:0], types=words.types[:0]))  # 8 bytes a word
     shards = max(16, int(words.tokens.sum()) // tokens_a_shard)
 
     def made(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        shard = int(tx.mix64(keys[:1])[0] % np.uint64(shards))
-        first, second = (keys >> np.uint64(BITS)).astype(np.int64), (keys & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        shard = int(shard_of(keys[:1], shards)[0])
+        first, second = parts(keys)
         some = n >= 2
-        of = [np.bincount(second, minlength=BORDER + 1), np.bincount(first, n * some, BORDER + 1), np.bincount(first[n == 2], minlength=BORDER + 1), np.bincount(first[n > 2], minlength=BORDER + 1)]
+        symbol, code = np.unique(np.concatenate([first, second]), return_inverse=True)
+        a, b = np.split(code, 2)
+        of = [np.bincount(b, minlength=len(symbol)), np.bincount(a, n * some, len(symbol)), np.bincount(a[n == 2], minlength=len(symbol)), np.bincount(a[n > 2], minlength=len(symbol))]
         at = np.flatnonzero(of[0] + of[1])
         few = np.bincount(np.minimum(n, 5), minlength=6)[:5]
         few[0] = n[first == BORDER].sum()
@@ -214,12 +256,12 @@ def trained(docs: DataFrame, text: str = "text", tokens_a_shard: int = 4_000_000
         kind = np.repeat([0, 1, 2, 3], [1, len(at), 5, len(level)])
         blob = lambda data: pa.array([data] + [None] * (len(kind) - 1), pa.binary())
         rest = [np.concatenate([[0], x[at].astype(np.int64), np.zeros(len(kind) - 1 - len(at), np.int64)]) for x in of[1:]]
-        return sp.batch(MADE, kind, np.full(len(kind), shard), blob(counts.pack(keys[some])), blob(counts.pack_counts(n[some])), np.concatenate([[0], at, np.arange(5), level]), np.concatenate([[0], of[0][at], few, k]), *rest)
+        return sp.batch(MADE, kind, np.full(len(kind), shard), blob(counts.pack(keys[some])), blob(counts.pack_counts(n[some])), np.concatenate([[0], symbol[at], np.arange(5), level]), np.concatenate([[0], of[0][at], few, k]), *rest)
 
-    table = sp.written(counts.count(docs, lambda c: held.value.bigrams(c)[0], shards, MADE, made, text), "bigrams", "zstd")
+    table = sp.written(counts.count(docs, lambda c: held.value.bigrams(c)[0], shards, MADE, made, text, shard_of), "bigrams", "zstd")
     rest = table.filter("kind > 0").groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("n", "seen", "twos", "more"))).toArrow()  # a row a symbol and level
     kind, key, n = (rest[c].to_numpy() for c in ("kind", "key", "n"))
-    before, after, few = np.zeros(BORDER + 1), np.zeros((3, BORDER + 1)), np.zeros(5)
+    before, after, few = np.zeros(len(words.tokens)), np.zeros((3, len(words.tokens))), np.zeros(5)
     before[key[kind == 1]] = n[kind == 1]
     after[:, key[kind == 1]] = [rest[c].to_numpy()[kind == 1] for c in ("seen", "twos", "more")]
     few[key[kind == 2]] = n[kind == 2]
@@ -286,7 +328,7 @@ def scores(model: Model, chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray, tuple
     gram, off = model.words.bigrams(chunk)
     doc = np.repeat(np.arange(chunk.n), np.diff(off))
     code, kinds = tx.pd.factorize(gram)
-    own, own_first = (_own(doc, x) for x in (code, (gram >> np.uint64(BITS)).astype(np.int64)))
+    own, own_first = (_own(doc, x) for x in (code, parts(gram)[0]))
     held = model.counts(kinds)
     after, alone = model.logs(gram, own, own_first, held[code])
     n = np.bincount(doc, minlength=chunk.n)
@@ -314,7 +356,7 @@ def asked(held: list[tuple[np.ndarray, ...]], shards: int):
     """For each shard its bigrams in order; ``held`` is empty afterwards."""
     key, *rest = (np.concatenate(x) for x in zip(*held))
     held.clear()
-    shard = (tx.mix64(key) % np.uint64(shards)).astype(np.int32)
+    shard = shard_of(key, shards)
     order = np.lexsort((key, shard))
     key, rest, cut = key[order], [x[order] for x in rest], np.searchsorted(shard[order], np.arange(shards + 1))
     for k in np.flatnonzero(np.diff(cut)):
@@ -324,7 +366,7 @@ def asked(held: list[tuple[np.ndarray, ...]], shards: int):
 
 def measured(docs: DataFrame, model: Model, counted: Counted, rest: list[str], text: str = "text") -> DataFrame:
     """Of each document: the base counts, base_failed, entropies by the bigrams held, and a row number. Columns ``rest`` go along. Rows with a shard ask for the other bigrams."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most GRAMS bigrams and HEAD + CLASSES symbols
+    held = docs.sparkSession.sparkContext.broadcast(model)  # at most GRAMS bigrams, HEAD + CLASSES symbols and 12 bytes a further word
     schema = StructType([StructField(f.name, f.dataType, True) for f in sp.rows_schema(docs, rest, f"{SCORES}, {ASKED}")])
     arrow = sp.arrow_schema(schema)
     shards, whole, blank = counted.shards, counted.whole, len(arrow) - len(ASKED.split(", "))
@@ -360,7 +402,7 @@ def answered(rows: DataFrame, model: Model, counted: Counted) -> DataFrame:
 
     Requests are answered where they arrive and never written.
     """
-    held = rows.sparkSession.sparkContext.broadcast(replace(model, keys=model.keys[:0], n=model.n[:0], words=replace(model.words, keys=model.words.keys[:0])))
+    held = rows.sparkSession.sparkContext.broadcast(replace(model, keys=model.keys[:0], n=model.n[:0], words=replace(model.words, keys=model.words.keys[:0], others=model.words.others[:0])))
     asking = ASKED.split(", ")[1:]
     kept = [f for f in rows.schema.fields if f.name not in {x.split()[0] for x in asking}]
     schema = StructType([*kept, *sp.schema_of("lacks long")])
