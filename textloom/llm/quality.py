@@ -267,6 +267,9 @@ def trained(docs: DataFrame, text: str = "text", tokens_a_shard: int = 4_000_000
     few[key[kind == 2]] = n[kind == 2]
     down = np.argsort(-key[kind == 3])
     level, taken = key[kind == 3][down], np.cumsum(n[kind == 3][down])
+    del rest, kind, key, n
+    held.unpersist()  # the table of bigrams is written
+    sp.give_back()
     held_levels = int(np.searchsorted(taken, GRAMS, "right"))  # the model holds these levels; the others' bigrams are asked for
     counted = Counted(table.filter("kind = 0").select("shard", "keys", "times"), shards, int(level[held_levels - 1]) if held_levels else 1 << 20, held_levels == len(level))
 
@@ -281,7 +284,10 @@ def trained(docs: DataFrame, text: str = "text", tokens_a_shard: int = 4_000_000
     grams = sp.arrow_map(counted.table.select("keys", "times"), frequent, counts.ROWS).toArrow()  # at most GRAMS rows
     keys, n = grams["key"].to_numpy().view(np.uint64), grams["n"].to_numpy()
     order = np.argsort(keys)
-    return kneser_ney(words, keys[order], n[order], before, after, few[1:], int(few[0])), counted
+    model = kneser_ney(words, keys[order], n[order], before, after, few[1:], int(few[0]))
+    del grams, keys, n, order, before, after, words
+    sp.give_back()
+    return model, counted
 
 
 def base(chunk: tx.Chunk) -> tuple[np.ndarray, ...]:
