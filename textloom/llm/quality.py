@@ -65,9 +65,11 @@ def word_keys(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Vocabulary:
+class Vocabulary(counts.Tight):
     """Keys of the head in order, and of all symbols: tokens and types that they stand for. ``others``: keys of all further words in order."""
 
+    IN_ORDER = ("keys", "others")
+
     keys: np.ndarray
     tokens: np.ndarray
     types: np.ndarray
@@ -129,7 +131,8 @@ def bound_of(table: DataFrame, most: int, least: int) -> int:
 
 def vocabulary(docs: DataFrame, text: str = "text", docs_a_shard: int = 16_000) -> Vocabulary:
     shards = max(16, docs.count() // docs_a_shard)
-    table = sp.written(counts.count(docs, lambda c: word_keys(c)[0], shards, counts.ROWS, counts.rows, text), "words")
+    path = sp.scratch(docs.sparkSession, "words")
+    table = sp.written(counts.count(docs, lambda c: word_keys(c)[0], shards, counts.ROWS, counts.rows, text), "words", path=path)
     bound = bound_of(table, HEAD, LEAST)
 
     def in_order(few: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -145,11 +148,12 @@ def vocabulary(docs: DataFrame, text: str = "text", docs_a_shard: int = 16_000)
     rest = table.filter(F.col("n") < LEAST).groupBy(F.col("key").bitwiseAND(F.lit(CLASSES - 1)).alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()  # a row a class
     for r in rest:
         tokens[HEAD + r["class"]], types[HEAD + r["class"]] = r.n, r.types
+    sp.delete(docs.sparkSession, path)
     return Vocabulary(keys, tokens, types, others)
 
 
 @dataclass
-class Model:
+class Model(counts.Tight):
     """Sorted keys of the bigrams held with counts; discounts; and of each symbol: back-off weight and lower-order log-probability of a word of it.
 
     Further words with the same values share a place in these arrays, after the border's; ``place`` has that of each.
@@ -222,9 +226,10 @@ def levels(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Counted:
-    """All bigrams of two or more in a table of shards, and the level from which the model holds them; ``whole`` if it holds all."""
+    """All bigrams of two or more in a table of shards at ``path``, and the level from which the model holds them; ``whole`` if it holds all."""
 
     table: DataFrame
+    path: str
     shards: int
     level: int
     whole: bool
@@ -232,7 +237,9 @@ class Counted:
 
 def train(docs: DataFrame, text: str = "text", tokens_a_shard: int = 4_000_000) -> Model:
     """The model alone; it holds at most GRAMS bigrams."""
-    return trained(docs, text, tokens_a_shard)[0]
+    model, counted = trained(docs, text, tokens_a_shard)
+    sp.delete(docs.sparkSession, counted.path)
+    return model
 
 
 def trained(docs: DataFrame, text: str = "text", tokens_a_shard: int = 4_000_000) -> tuple[Model, Counted]:
@@ -258,7 +265,8 @@ def trained(docs: DataFrame, text: str = "text", tokens_a_shard: int = 4_000_000
         rest = [np.concatenate([[0], x[at].astype(np.int64), np.zeros(len(kind) - 1 - len(at), np.int64)]) for x in of[1:]]
         return sp.batch(MADE, kind, np.full(len(kind), shard), blob(counts.pack(keys[some])), blob(counts.pack_counts(n[some])), np.concatenate([[0], symbol[at], np.arange(5), level]), np.concatenate([[0], of[0][at], few, k]), *rest)
 
-    table = sp.written(counts.count(docs, lambda c: held.value.bigrams(c)[0], shards, MADE, made, text, shard_of), "bigrams", "zstd")
+    path = sp.scratch(spark, "bigrams")
+    table = sp.written(counts.count(docs, lambda c: held.value.bigrams(c)[0], shards, MADE, made, text, shard_of), "bigrams", "zstd", path)
     rest = table.filter("kind > 0").groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("n", "seen", "twos", "more"))).toArrow()  # a row a symbol and level
     kind, key, n = (rest[c].to_numpy() for c in ("kind", "key", "n"))
     before, after, few = np.zeros(len(words.tokens)), np.zeros((3, len(words.tokens))), np.zeros(5)
@@ -271,7 +279,7 @@ def trained(docs: DataFrame, text: str = "text", tokens_a_shard: int = 4_000_000
     held.unpersist()  # the table of bigrams is written
     sp.give_back()
     held_levels = int(np.searchsorted(taken, GRAMS, "right"))  # the model holds these levels; the others' bigrams are asked for
-    counted = Counted(table.filter("kind = 0").select("shard", "keys", "times"), shards, int(level[held_levels - 1]) if held_levels else 1 << 20, held_levels == len(level))
+    counted = Counted(table.filter("kind = 0").select("shard", "keys", "times"), path, shards, int(level[held_levels - 1]) if held_levels else 1 << 20, held_levels == len(level))
 
     def frequent(batches):
         for rows in batches:
@@ -367,7 +375,7 @@ def asked(held: list[tuple[np.ndarray, ...]], shards: int):
     key, rest, cut = key[order], [x[order] for x in rest], np.searchsorted(shard[order], np.arange(shards + 1))
     for k in np.flatnonzero(np.diff(cut)):
         a, b = cut[k], cut[k + 1]
-        yield int(k), counts.pack(key[a:b]), *(counts.pack_counts(x[a:b]) for x in rest)
+        yield int(k), counts.tight(counts.pack(key[a:b])), *(counts.tight(counts.pack_counts(x[a:b])) for x in rest)
 
 
 def measured(docs: DataFrame, model: Model, counted: Counted, rest: list[str], text: str = "text") -> DataFrame:
@@ -416,6 +424,7 @@ def answered(rows: DataFrame, model: Model, counted: Counted) -> DataFrame:
     row_at = [f.name for f in kept].index("row")
 
     def answer(keys: np.ndarray, n: np.ndarray, first_row: int, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        blobs = [counts.loose(b) for b in blobs]
         key, (whose, own, own_first) = counts.unpack(blobs[0]), (counts.unpack_counts(b) for b in blobs[1:])
         place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         c = np.where(keys[place] == key, n[place], 0)
@@ -449,16 +458,18 @@ def answered(rows: DataFrame, model: Model, counted: Counted) -> DataFrame:
 
 def scored(docs: DataFrame, rest: list[str], text: str = "text") -> DataFrame:
     """Of each document: the base counts, base_failed and entropies. Columns ``rest`` go along. The most frequent bigrams, at most GRAMS, are held by tasks; all others are asked for."""
-    model, counted = trained(docs.select(F.col(text).cast("string").alias(text)), text)
-    rows = measured(docs, model, counted, rest, text)
     entropy = F.col("entropy")
-    if counted.whole:
-        out = sp.written(rows, "quality")
-    else:
-        table = sp.written(answered(rows, model, counted), "quality", "zstd")
-        lacks = sp.written(table.filter("lacks IS NOT NULL").groupBy("row").agg(F.sum("lacks").alias("lacks")), "lacks", "zstd")
-        out = table.filter("lacks IS NULL").drop("lacks").join(lacks, "row", "left")
-        entropy = entropy - F.coalesce("lacks", F.lit(0)) / F.lit(float(UNIT)) / (F.col("n_words") + 1)
+    with sp.shuffles_freed(docs.sparkSession):
+        model, counted = trained(docs.select(F.col(text).cast("string").alias(text)), text)
+        rows = measured(docs, model, counted, rest, text)
+        if counted.whole:
+            out = sp.written(rows, "quality")
+        else:
+            table = sp.written(answered(rows, model, counted), "quality", "zstd")
+            lacks = sp.written(table.filter("lacks IS NOT NULL").groupBy("row").agg(F.sum("lacks").alias("lacks")), "lacks", "zstd")
+            out = table.filter("lacks IS NULL").drop("lacks").join(lacks, "row", "left")
+            entropy = entropy - F.coalesce("lacks", F.lit(0)) / F.lit(float(UNIT)) / (F.col("n_words") + 1)
+    sp.delete(docs.sparkSession, counted.path)
     grid = lambda c: F.rint(c * 1024) / 1024
     return out.withColumn("entropy", grid(entropy)).withColumn("lower_entropy", grid(F.col("lower_entropy"))).withColumn("gain", F.col("lower_entropy") - F.col("entropy")).select(*rest, *(f.name for f in sp.schema_of(SCORES)))
 
