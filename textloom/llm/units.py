@@ -50,6 +50,81 @@ class Memory:
         return self.ids, self.end[where], self.end[where + 1] - self.end[where]
 
 
+def _put(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The array with ``more`` behind the entries used; it grows when it is full."""
+    if used + len(more) > len(array):
+        array = np.concatenate([array[:used], np.zeros(max(len(more), used), array.dtype)])
+    array[used : used + len(more)] = more
+    return array
+
+
+class UnitMemory:
+    """Ids of units seen before, found by hash and then held against their bytes; the number of units kept is bounded.
+
+    When there are too many, those that weren't found again go, and beyond half of the bound those found least often.
+    """
+
+    def __init__(self, most: int = 250_000):
+        self.most, self.n = most, 0
+        self._keep(np.zeros(0, np.int64))
+
+    def _keep(self, unit: np.ndarray) -> None:
+        """Forgets all units but these."""
+        if not len(unit):
+            self.hash, self.unit, self.found = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1 << 10, np.int32)
+            self.data, self.begin, self.ids, self.end, self.n = np.zeros(1 << 10, np.uint8), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int64), 0
+            return
+        data, begin, ids, end = self.data, self.begin, self.ids, self.end
+        size, count = begin[unit + 1] - begin[unit], end[unit + 1] - end[unit]
+        self.data, self.ids = data[tx.expand(begin[unit], size)], ids[tx.expand(end[unit], count)]
+        self.begin, self.end = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(count)])
+        place = np.full(self.n, -1)
+        place[unit] = np.arange(len(unit))
+        stays = place[self.unit] >= 0
+        self.hash, self.unit, self.n = self.hash[stays], place[self.unit[stays]], len(unit)
+        self.found = np.zeros(len(unit), np.int32)
+
+    def _known(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Whether spans are these units, byte by byte."""
+        same = size == self.begin[unit + 1] - self.begin[unit]
+        at = np.flatnonzero(same)
+        differ = buf[tx.expand(start[at], size[at])] != self.data[tx.expand(self.begin[unit[at]], size[at])]
+        same[at] = tx.per_doc(differ, np.concatenate([[0], np.cumsum(size[at])])) == 0
+        return same
+
+    def take(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A flat array of ids, and each span's start and length there. The spans' hashes differ."""
+        if self.n > self.most:
+            again = np.flatnonzero(self.found[: self.n])
+            self._keep(np.sort(again[np.argsort(-self.found[again], kind="stable")[: self.most // 2]]))
+        key = tx.hashes(buf, start, end)
+        order = np.argsort(key)
+        key, start, size = key[order], start[order], (end - start)[order]
+        at = np.searchsorted(self.hash, key)
+        hit = at < len(self.hash)
+        hit[hit] = self.hash[at[hit]] == key[hit]
+        seen = np.flatnonzero(hit)
+        seen = seen[self._known(buf, start[seen], size[seen], self.unit[at[seen]])]
+        unit = np.full(len(key), -1)
+        unit[seen] = self.unit[at[seen]]
+        self.found[unit[seen]] += 1
+        new = np.flatnonzero(unit < 0)
+        if len(new):
+            raw = buf.tobytes()
+            ids, count = encode([raw[a:b] for a, b in zip(start[new].tolist(), (start + size)[new].tolist())])
+            data, n = buf[tx.expand(start[new], size[new])], self.n
+            self.data, self.ids = _put(self.data, self.begin[n], data), _put(self.ids, self.end[n], ids)
+            self.begin, self.end = _put(self.begin, n + 1, self.begin[n] + np.cumsum(size[new])), _put(self.end, n + 1, self.end[n] + np.cumsum(count))
+            self.found = _put(self.found, n, np.zeros(len(new), np.int32))
+            unit[new] = n + np.arange(len(new))
+            self.n += len(new)
+            fresh = new[~hit[new]]  # of units with one hash only the first is found again
+            self.hash, self.unit = np.insert(self.hash, at[fresh], key[fresh]), np.insert(self.unit, at[fresh], unit[fresh])
+        out = np.empty(len(unit), np.int64)
+        out[order] = unit
+        return self.ids, self.end[out], self.end[out + 1] - self.end[out]
+
+
 #: Classes of bytes in plain units: letters, digits, others, space; 0 where a unit isn't plain.
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[0x21:0x7F] = 3
@@ -72,7 +147,7 @@ class UnitTokenizer:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.memory = Memory()
+        self.memory = UnitMemory()
         spec = json.loads(self.library.to_str())["model"]
         vocab, end = spec["vocab"], spec.get("end_of_word_suffix") or ""
         chars = _byte_chars()
@@ -145,13 +220,11 @@ class UnitTokenizer:
         """Flat ids of a chunk's documents, and the offset of each document's first id."""
         start, end, first = self.units(chunk)
         code, where = tx.distinct(chunk.buf, start, end)
-        raw = chunk.buf.tobytes()
-        keys = [raw[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())]
-        flat, at, size = self.memory.take(keys, self.encode_all)
+        flat, at, size = self.memory.take(chunk.buf, start[where], end[where], self.encode_all)
         size_of = size[code]
         ids = flat[tx.expand(at[code], size_of)]
         off = np.concatenate([[0], np.cumsum(size_of)])[first]
-        if _WIDE.search(raw):
+        if _WIDE.search(chunk.buf.tobytes()):
             ids, off = self._with_direct(chunk, ids, off)
         return ids, off
 
