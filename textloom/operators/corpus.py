@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tf_
+from textloom.operators import shards
 
 UNKNOWN = "<unk>"
 
@@ -109,18 +113,30 @@ def decode(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
     return encoded.join(vocab.select("term_id", "term"), "term_id").select("doc_id", "pos", "term")
 
 
-def cooccurrence(toks: DataFrame, window: int, by: list[str], inclusive: bool = True, symmetric: bool = False) -> DataFrame:
-    """Sums of 1 / distance of pairs of terms, the second at most ``window`` after the first.
+def cooccurrence(docs: DataFrame, window: int, least: int = 1, inclusive: bool = True, symmetric: bool = False) -> DataFrame:
+    """left, right, weight (the sum of 1 / distance) and n of pairs of terms of a text (doc_id, text) that occur ``least`` times or more.
 
-    Pairs come from a frame of following tokens, so the work is tokens times window, and hot terms are summed up before the shuffle.
+    The second term is at most ``window`` positions after the first; a line break takes one.  Pairs are counted by shards,
+    by their distance; symmetric ones are one pair until they are summed.
     """
     reach = window if inclusive else window - 1
-    w = Window.partitionBy(*by).orderBy("pos")
-    ahead = [F.struct(F.lead("term", k).over(w).alias("right"), (F.lead("pos", k).over(w) - F.col("pos")).alias("gap")) for k in range(1, reach + 1)]
-    pairs = toks.select(F.col("term").alias("left"), F.array(*ahead).alias("near")).select("left", F.explode("near").alias("x")).select("left", "x.right", "x.gap").filter(F.col("right").isNotNull() & (F.col("gap") <= reach))
-    if symmetric:
-        pairs = pairs.unionByName(pairs.select(F.col("right").alias("left"), F.col("left").alias("right"), "gap"))
-    return pairs.groupBy("left", "right").agg(F.sum(1.0 / F.col("gap")).alias("weight"), F.count("*").alias("n"))
+
+    def done(texts: pa.Array, words: int, sums: list[np.ndarray], shard: int) -> pa.RecordBatch:
+        n, weight = sum(sums), sum(c / (k + 1) for k, c in enumerate(sums))
+        few = n >= (-(-least // 2) if symmetric else least)  # a term beside itself counts twice where pairs are symmetric
+        pairs = pc.split_pattern(shards.whole(texts, few), " ")
+        left, right = (pc.list_element(pairs, k).combine_chunks() if isinstance(pairs, pa.ChunkedArray) else pc.list_element(pairs, k) for k in (0, 1))
+        n, weight = n[few], weight[few]
+        if symmetric:
+            itself = pc.equal(left, right).to_numpy(zero_copy_only=False)
+            twice = 1 + itself
+            back = np.flatnonzero(~itself)
+            left, right = pa.concat_arrays([left, right.take(pa.array(back))]), pa.concat_arrays([right, left.take(pa.array(back))])
+            n, weight = (np.concatenate([x * twice, x[back]]) for x in (n, weight))
+        out = pa.RecordBatch.from_arrays([left, right, pa.array(weight), pa.array(n)], names=["left", "right", "weight", "n"])
+        return out.filter(pa.array(n >= least))
+
+    return shards.summed(docs, lambda chunk, n: shards.pair_blocks(chunk, n, reach, not symmetric), reach, done, "left string, right string, weight double, n long")
 
 
 def collocations(toks: DataFrame, x: str, y: str, window: int, ordered: bool = True) -> DataFrame:

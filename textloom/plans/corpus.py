@@ -161,12 +161,12 @@ def _pairs_sql(reach: int, symmetric: bool) -> str:
 
 @query(_pairs_sql(3, True))
 def agg_cooccurrence(spark, d):
-    return c.cooccurrence(toks(spark, d), 3, ["doc_id"], symmetric=True).filter("n >= 5").withColumn("weight", r6("weight"))
+    return c.cooccurrence(table(spark, d, "documents"), 3, 5, symmetric=True).withColumn("weight", r6("weight"))
 
 
 @query(_pairs_sql(2, False))
 def agg_hal_proximity(spark, d):
-    return c.cooccurrence(toks(spark, d), 3, ["doc_id"], inclusive=False).filter("n >= 5").withColumn("weight", r6("weight"))
+    return c.cooccurrence(table(spark, d, "documents"), 3, 5, inclusive=False).withColumn("weight", r6("weight"))
 
 
 @query(f"WITH {TF}, i AS (SELECT term, doc_id FROM tf WHERE term IN ('the', 'and')) SELECT a.doc_id FROM i a JOIN i b ON a.doc_id = b.doc_id WHERE a.term = 'the' AND b.term = 'and'")
