@@ -12,10 +12,6 @@ _S = "sl AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(
 _STOP = ", ".join(f"'{t}'" for t in TERMS)
 
 
-def sents(spark, d):
-    return c.sentence_tokens(table(spark, d, "documents"))
-
-
 def _grams(n: int) -> str:
     parts = " || ' ' || ".join(["term", *(f"lead(term, {k}) OVER w" for k in range(1, n))])
     return f"SELECT doc_id, {n} AS words, {parts} AS phrase FROM st WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pos)"
@@ -26,12 +22,12 @@ _FREQ = "fp AS (SELECT phrase, CAST(words AS BIGINT) AS words, count(*) AS n, co
 
 @query(f"WITH {_S}, {_FREQ.format(' UNION ALL '.join(map(_grams, (2, 3, 4))), 5)} SELECT * FROM fp")
 def mine_frequent_phrases(spark, d):
-    return m.frequent_phrases(sents(spark, d))
+    return m.frequent_phrases(table(spark, d, "documents"))
 
 
 @query(f"WITH {_S}, {_FREQ.format(' UNION ALL '.join(map(_grams, (2, 3))), 5)} SELECT phrase, n FROM fp WHERE NOT regexp_matches(phrase, '^[[:punct:]]|[[:punct:]]$') AND len(list_filter(string_split(phrase, ' '), lambda t: t NOT IN ({_STOP}))) > 0 AND length(regexp_replace(phrase, '[^(\\[{{]', '', 'g')) = length(regexp_replace(phrase, '[^)\\]}}]', '', 'g'))")
 def mine_phrase_filter(spark, d):
-    return m.frequent_phrases(sents(spark, d), 5, 3).filter(m.good_phrase(F.col("phrase"), TERMS)).select("phrase", "n")
+    return m.frequent_phrases(table(spark, d, "documents"), 5, 3).filter(m.good_phrase(F.col("phrase"), TERMS)).select("phrase", "n")
 
 
 @query(f"WITH {TOKENS}, ph(phrase) AS (VALUES ('of the'), ('in the'), ('de la'), ('to the an')), g AS (SELECT doc_id, pos AS start, unnest([{{'p': term, 'e': pos}}, CASE WHEN lead(pos, 1) OVER w = pos + 1 THEN {{'p': term || ' ' || lead(term, 1) OVER w, 'e': CAST(pos + 1 AS INT)}} END, CASE WHEN lead(pos, 2) OVER w = pos + 2 THEN {{'p': term || ' ' || lead(term, 1) OVER w || ' ' || lead(term, 2) OVER w, 'e': CAST(pos + 2 AS INT)}} END]) AS x FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, start, x.e AS \"end\", x.p AS phrase FROM g JOIN ph ON x.p = phrase")
@@ -47,7 +43,7 @@ def mine_pmi(spark, d):
 
 @query(f"WITH {_S}, {_FREQ.format(' UNION ALL '.join(map(_grams, (2, 3))), 3)}, ok AS (SELECT phrase, df FROM fp WHERE NOT regexp_matches(phrase, '^[[:punct:]]|[[:punct:]]$') AND len(list_filter(string_split(phrase, ' '), lambda t: t NOT IN ({_STOP}))) > 0 AND length(regexp_replace(phrase, '[^(\\[{{]', '', 'g')) = length(regexp_replace(phrase, '[^)\\]}}]', '', 'g'))), f AS (SELECT doc_id, phrase, count(*) AS tf FROM ({_grams(2)} UNION ALL {_grams(3)}) SEMI JOIN ok USING (phrase) GROUP BY ALL), s AS (SELECT doc_id, phrase, tf, tf * ln(((SELECT count(DISTINCT doc_id) FROM st) + 1) / df) AS score FROM f JOIN ok USING (phrase)) SELECT doc_id, phrase, tf, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, phrase) AS rank FROM s QUALIFY rank <= 5")
 def mine_keyphrases(spark, d):
-    return m.keyphrases(sents(spark, d), TERMS).withColumn("score", r6("score"))
+    return m.keyphrases(table(spark, d, "documents"), TERMS).withColumn("score", r6("score"))
 
 
 @query()
