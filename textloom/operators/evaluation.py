@@ -94,9 +94,15 @@ def t_probability(t: float, degrees: int) -> float:
 
 
 def rank_change(run: DataFrame, other: DataFrame, k: int = 20) -> DataFrame:
-    """The top k of the other run with the change of rank from the first."""
-    def ranked(x: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id")
-        return x.select("qid", "doc_id", F.row_number().over(w).cast("long").alias(name))
+    """The top k of the other run with the change of rank from the first.
 
-    return ranked(other, "rank_2").filter(F.col("rank_2") <= k).join(ranked(run, "rank_1"), ["qid", "doc_id"], "left").withColumn("change", F.col("rank_1") - F.col("rank_2"))
+    Ranks in the first are counts of the documents before those few, so no query's whole ranking is sorted by one task.
+    """
+    place = F.round("score", 9).alias("place")
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    best = other.select("qid", "doc_id", F.row_number().over(w).alias("r")).filter(F.col("r") <= k).select("qid", "doc_id", F.col("r").cast("long").alias("rank_2"))
+    first = run.select("qid", F.col("doc_id").alias("other"), place)
+    own = F.broadcast(best.select("qid", "doc_id").join(run.select("qid", "doc_id", place.alias("own")), ["qid", "doc_id"]))  # at most k rows a query
+    before = (F.col("place") > F.col("own")) | ((F.col("place") == F.col("own")) & (F.col("other") <= F.col("doc_id")))
+    ranks = first.join(own, "qid").filter(before).groupBy("qid", "doc_id").agg(F.count("*").alias("rank_1"))
+    return best.join(ranks, ["qid", "doc_id"], "left").select("qid", "doc_id", "rank_2", "rank_1", (F.col("rank_1") - F.col("rank_2")).alias("change"))

@@ -9,8 +9,9 @@ from textloom.functions import text as t
 from textloom.operators import corpus as c
 from textloom.operators import feedback as f
 from textloom.operators import retrieval as r
+from textloom.operators.shards import kept
 from textloom.plans.base import WORDS, query, r6, table, topics
-from textloom.plans.retrieval import _DIR, _KLD, _M, _TOP, index
+from textloom.plans.retrieval import _DIR, _KLD, _M, _TOP, best_documents, index, whole_index
 
 _RANKED = f"{_M}, s AS ({_KLD.format(p=_DIR)}), rk AS (SELECT *, {_TOP} FROM s), top AS (SELECT * FROM rk WHERE rank <= 10)"
 _BG = "(SELECT term, cf / n_tokens AS near, cf / n_tokens AS far FROM vocab, cs)"
@@ -34,14 +35,15 @@ def model(df):
 
 
 def kld(spark, d, k: int = 10):
-    """The index, and the first documents of each query by divergence."""
+    """The first documents of each query by divergence: an index about them, their ranking, and the documents."""
     i = index(spark, d)
-    return i, r.top(r.language_model(i, topics(spark)), k)
+    best, some = best_documents(spark, d, r.language_model(i, topics(spark)), k)
+    return i.about(table(spark, d, "documents"), some), best, some
 
 
 @query(f"{_RANKED}, later AS (SELECT * FROM rk WHERE rank BETWEEN 101 AND 110), {_smoothed('wa', 'top')}, {_best('a', 'wa')}, {_smoothed('wb', 'later')}, {_best('b', 'wb')}, n AS (SELECT qid, term, exp(10 * sum(p)) AS p FROM (SELECT * FROM a UNION ALL SELECT qid, term, -p FROM b) GROUP BY ALL), {_best('o', 'n')} {_OUT} o")
 def ir_negative_model(spark, d):
-    return model(f.negative_model(*kld(spark, d, 110)))
+    return model(f.negative_model(*kld(spark, d, 110)[:2]))
 
 
 def _passages(weight: str) -> str:
@@ -54,8 +56,8 @@ def _passages(weight: str) -> str:
 
 
 def _passage_model(spark, d, by_place: bool):
-    i, best = kld(spark, d)
-    return model(f.passage_model(i, c.tokens(table(spark, d, "documents")), topics(spark), best, by_place=by_place))
+    i, best, some = kld(spark, d)
+    return model(f.passage_model(i, c.tokens(some), topics(spark), best, by_place=by_place))
 
 
 @query(_passages("w0 * exp(-passage) / sum(w0 * exp(-passage)) OVER (PARTITION BY qid, doc_id)"))
@@ -70,7 +72,7 @@ def ir_passage_model_by_score(spark, d):
 
 @query(f"{_RANKED}, w AS (SELECT qid, term, sum(tf / dl) AS s, sum(power(tf / dl, 2)) AS s2 FROM top JOIN tf USING (doc_id) JOIN dl USING (doc_id) GROUP BY ALL), sp AS (SELECT qid, term, s * (n - 1) - s * s + s2 AS p FROM w JOIN (SELECT qid, count(*) AS n FROM top GROUP BY qid) USING (qid)), {_best('o', 'sp')} {_OUT} o")
 def ir_specific_model(spark, d):
-    return model(f.specific_model(*kld(spark, d)))
+    return model(f.specific_model(*kld(spark, d)[:2]))
 
 
 _BY_COLLECTION = "(SELECT collection, term, k.cf / n AS near, v.cf / n_tokens AS far FROM (SELECT *, sum(cf) OVER (PARTITION BY collection) AS n FROM (SELECT coalesce(lang, '') AS collection, term, sum(tf) AS cf FROM tf JOIN documents USING (doc_id) GROUP BY ALL)) k JOIN vocab v USING (term), cs)"
@@ -82,8 +84,14 @@ def ir_cluster_expansion(spark, d):
     collections = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("collection"))
     w = Window.partitionBy("qid", "collection").orderBy(F.desc(F.round("score", 9)), "doc_id")
     scored = r.language_model(i, topics(spark)).join(collections, "doc_id")
-    best = scored.withColumn("r", F.row_number().over(w)).filter("r <= 10").select("qid", "collection", "doc_id", "score")
-    return model(f.cluster_expansion(i, best, collections))
+    best = kept(scored.withColumn("r", F.row_number().over(w)).filter("r <= 10").select("qid", "collection", "doc_id", "score"), "ranking")
+    docs = table(spark, d, "documents")
+    ids = [x.doc_id for x in best.select("doc_id").distinct().collect()]  # 10 a query and language
+    about = i.about(docs, docs.filter(F.col("doc_id").isin(ids)))
+    by = docs.select(F.coalesce("lang", F.lit("")).alias("collection"), "text")
+    counts = kept(c.term_counts(by, about.vectors.select("term").distinct(), ("collection",)), "counts")
+    about.vocab = counts.groupBy("term").agg(F.sum("cf").alias("cf"))
+    return model(f.cluster_expansion(about, best, collections, counts=counts))
 
 
 _SENTS = "sl AS (SELECT doc_id, generate_subscripts(x, 1) AS sent_id, unnest(x) AS line FROM (SELECT doc_id, string_split_regex(lower(text), '\\n+') AS x FROM documents WHERE doc_id IN (SELECT doc_id FROM top))), sw AS (SELECT doc_id, sent_id, list_filter(string_split_regex(line, '\\s+'), lambda t: t <> '') AS w FROM sl), st AS (SELECT doc_id, sent_id, generate_subscripts(w, 1) AS pos, unnest(w) AS term FROM sw)"
@@ -93,15 +101,15 @@ _MOVED = "pd AS (SELECT doc_id, term, tf / sum(tf) OVER (PARTITION BY doc_id) AS
 
 @query(f"{_RANKED}, {_SENTS}, {_NEAR}, {_MOVED}, tw AS (SELECT qid, term, 0.5 * seen + 0.5 * total * cf / n_tokens AS p FROM (SELECT qid, term, sum(score * p) AS seen FROM top JOIN tr USING (doc_id) GROUP BY ALL) JOIN (SELECT qid, sum(score) AS total FROM top GROUP BY qid) USING (qid) JOIN vocab USING (term), cs), {_best('o', 'tw')} {_OUT} o")
 def ir_translated_model(spark, d):
-    i, best = kld(spark, d)
-    return model(f.translated_model(i, c.sentence_tokens(table(spark, d, "documents")), best))
+    i, best, some = kld(spark, d)
+    return model(f.translated_model(i, c.sentence_tokens(some), best))
 
 
 @query(f"{_M}, qm AS (SELECT qid, term, sum(qtf) / any_value(ql) AS p FROM q JOIN ql USING (qid) GROUP BY qid, term), vr AS (SELECT qm.qid, v.term, count(*) AS n FROM qm, vocab v WHERE v.term IN (qm.term || 's', qm.term || 'n', qm.term || 'r') GROUP BY ALL) SELECT qid, term, round(sum(p), 6) AS p FROM (SELECT qid, term, 0.9 * p AS p FROM qm UNION ALL SELECT qid, term, 0.1 * n / sum(n) OVER (PARTITION BY qid) FROM vr) GROUP BY ALL")
 def ir_variant_expansion(spark, d):
     """Variants are words of the vocabulary that add one of three letters."""
     of = F.expr("left(term, length(term) - 1)")
-    known = index(spark, d).vocab.filter(F.col("term").rlike("[snr]$")).select(of.alias("term"), F.col("term").alias("variant"))
+    known = whole_index(spark, d).vocab.filter(F.col("term").rlike("[snr]$")).select(of.alias("term"), F.col("term").alias("variant"))
     return model(f.with_variants(r.query_model(topics(spark)), known))
 
 
